@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, substring
+from . import mixing, sharding, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,3 +43,35 @@ FROM d LEFT JOIN kept USING (rid)
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op1_source_mix"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                  md5('mix|' || coalesce(doc_id::VARCHAR, '-')) AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+             sum(source_size) OVER () * 1.5::DOUBLE AS budget, (source_size * 2)::DOUBLE AS lim FROM s),
+l AS (SELECT *, (budget - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_level FROM w),
+t AS (SELECT source, source_size, budget, CASE WHEN open_level >= lim / weight THEN lim
+             ELSE weight * min(CASE WHEN open_level < lim / weight THEN open_level END) OVER () END AS target FROM l),
+r AS (SELECT d.*, t.source_size, t.target, t.budget,
+             sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS words
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT doc_id, size, place, budget, (k * source_size + words)::DOUBLE / target AS time FROM r, range(2) g(k) WHERE size > 0 AND target > 0),
+x AS (SELECT doc_id, size, place, sum(size) OVER (ORDER BY time, place, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto, budget FROM c),
+n AS (SELECT doc_id, size, place, count(*) AS copies FROM x WHERE upto <= budget GROUP BY ALL)
+SELECT r.doc_id, r.size, r.source_size, r.target, (r.size * coalesce(n.copies, 0))::BIGINT AS taken
+FROM r LEFT JOIN n ON r.doc_id IS NOT DISTINCT FROM n.doc_id AND r.size = n.size AND r.place = n.place
+"""
+
+
+@query
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
