@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, substring
+from . import chunks, mixing, packing, secret_scan, sharding, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,3 +75,19 @@ FROM r LEFT JOIN n ON r.doc_id IS NOT DISTINCT FROM n.doc_id AND r.size = n.size
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secret_scan.scan(documents(spark, sf_dir))
+    return secret_scan.digest(findings)
+
+
+@query
+def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.compared(documents(spark, sf_dir))
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(documents(spark, sf_dir))
