@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 
 #: Least, target and greatest bytes of a chunk.
-LEAST, TARGET, MOST = 64, 256, 1024
+LEAST, TARGET, MOST = 32, 128, 512
 #: Bytes that are hashed at a time.
 BLOCK = 1 << 20
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), 5) for i in range(256)], np.uint32)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, mixing, packing, secret_scan, sharding, simhash, substring
+from . import chunks, mixing, packing, secret_scan, sharding, simhash, substring, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -91,3 +91,22 @@ def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
+
+
+@query
+def op6_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+ORACLE_SQL["op6_bloom_cascade"] = r"""
+WITH a AS (SELECT page_id, strpos(coalesce(url, ''), '://') AS pos, url FROM pages),
+b AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM a),
+c AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path FROM b),
+r(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
+                            ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f AS (SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+      FROM c LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)(spam-farm\.example\.org|cheap-pills\.example\.com)$')
+       THEN 'block' ELSE 'allow' END) AS verdict FROM f
+"""
