@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, mixing, packing, secret_scan, sharding, simhash, substring, url_filter
+from . import audio, chunks, mixing, packing, quality, secret_scan, sharding, simhash, substring, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -110,3 +110,13 @@ f AS (SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, max_by
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|\.)(spam-farm\.example\.org|cheap-pills\.example\.com)$')
        THEN 'block' ELSE 'allow' END) AS verdict FROM f
 """
+
+
+@query
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir)).select("doc_id", "score", (F.col("score") < quality.REJECT).alias("keep"))
+
+
+@query
+def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.digests(documents(spark, sf_dir))
