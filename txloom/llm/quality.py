@@ -149,12 +149,13 @@ def sample(docs: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarray]:
     return x, rows.column("pattern").to_numpy()
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights and, last, the bias of a logistic scorer of soft labels, by full-batch Adam."""
-    w, m, v = (np.zeros(x.shape[1] + 1) for _ in range(3))
+    w, m, v = (np.zeros(x.shape[1] + 1, np.float32) for _ in range(3))
+    y = y.astype(np.float32)
     for t in range(1, rounds + 1):
-        error = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y
-        g = np.append(x.T @ error, error.sum()) / max(len(y), 1) + decay * w
+        error = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - y  # all in single precision, so x is never copied
+        g = np.append(error @ x, error.sum()) / max(len(y), 1) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
