@@ -157,15 +157,18 @@ def ppr_weight(d: str, other: str, alpha: float = 0.85) -> Column:
 
 
 def ppr_by_steps(df: DataFrame, alpha: float = 0.85) -> DataFrame:
-    """user_key, tx_id, ppr by propagation along the edges: the slow twin of ppr_weight, for tests."""
-    d = with_degrees(df).select("tx_id", "user_key", "merchant_key", "d_u", "d_m")
-    one = d.select(F.col("user_key").alias("root"), "tx_id", "user_key", "merchant_key", "d_m", "d_u", (F.lit(alpha) / F.col("d_u")).alias("p"))
-    back = one.groupBy("root").agg(F.sum(F.col("p") * alpha / 2).alias("at"))  # half of every step returns to the root
-    via_user = d.join(back.withColumnRenamed("root", "user_key"), "user_key").select(F.col("user_key").alias("root"), "tx_id", (F.col("at") * alpha / F.col("d_u")).alias("p"))
-    across = one.groupBy("root", "merchant_key").agg(F.sum(F.col("p") * alpha / 2).alias("at"))
-    via_merchant = d.join(across, "merchant_key").filter("root = user_key").select("root", "tx_id", (F.col("at") * alpha / F.col("d_m")).alias("p"))
-    stop = one.select("root", "tx_id", (F.col("p") * (1 - alpha)).alias("p"))
-    return stop.union(via_user).union(via_merchant).groupBy(F.col("root").alias("user_key"), "tx_id").agg(F.sum("p").alias("ppr"))
+    """user_key, tx_id, ppr by propagation along the edges: the slow twin of ppr_weight, for tests.
+
+    A walk from a user stops with 1 - alpha at each transaction it reaches in its first step, and for good in its third.
+    """
+    d = with_degrees(df).select("tx_id", "user_key", "merchant_key", "d_m", "d_u")
+    at = d.withColumn("p", F.lit(alpha) / F.col("d_u"))
+    stop = at.select("user_key", "tx_id", (F.col("p") * (1 - alpha)).alias("p"))
+    back = at.groupBy("user_key").agg(F.sum(F.col("p") * alpha / 2).alias("at"))
+    via_user = d.join(back, "user_key").select("user_key", "tx_id", (F.col("at") * alpha / F.col("d_u")).alias("p"))
+    across = at.groupBy("user_key", "merchant_key").agg(F.sum(F.col("p") * alpha / 2).alias("at"))
+    via_merchant = d.join(across, ["user_key", "merchant_key"]).select("user_key", "tx_id", (F.col("at") * alpha / F.col("d_m")).alias("p"))
+    return stop.union(via_user).union(via_merchant).groupBy("user_key", "tx_id").agg(F.sum("p").alias("ppr"))
 
 
 def historical_homophily(d: str, f: str, smoothing: float = 20, prior: float = 0.5) -> Column:
