@@ -100,3 +100,18 @@ def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS
             own = lambda t: F.struct(t.alias("time"), F.col("place").alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("size").alias("size"))
             n = F.size(F.filter("times", lambda t: early(t) | ((F.floor(t * bins) == last["bin"]) & (own(t) <= key))))
     return rows.withColumn("copies", n.cast("int")).withColumn("taken", F.col("size") * F.col("copies"))
+
+
+def mixture(docs: DataFrame, **rule: object) -> DataFrame:
+    """The columns of docs, a row for each copy that the mix takes.
+
+    The rule is worked out on numbers alone and joined back by doc_id, so texts are exchanged once. Where doc_ids repeat, the
+    texts go along through the rule instead, so each row keeps its own decision.
+    """
+    columns = docs.columns
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        own = mixed(docs, **rule).filter("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("copies").alias("_copies"))
+        rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    else:
+        rows = mixed(docs, carry=tuple(c for c in columns if c not in ("doc_id", "source")), **rule).withColumnRenamed("copies", "_copies")
+    return rows.filter("_copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(*columns)
