@@ -36,7 +36,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """source, source_size, weight, target, from rows of source and size.
 
     A source is full at the water level that its limit over its weight gives; with sources in that order, a
-    source is full if the level that uses up the budget, were it and all after it open, is not below its own.
+    source is full if the level that uses up the budget, were it and all after it open, is not below its own. From the
+    first source that isn't full on, these levels fall, so the first and greatest is the water level.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     by_level = Window.orderBy("level", F.col("source").asc_nulls_last())
@@ -48,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     after = by_level.rowsBetween(0, Window.unboundedFollowing)
     some = some.withColumn("open_level", (F.col("budget") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     some = some.withColumn("full", F.col("open_level") >= F.col("level"))
-    level = F.min(F.when(~F.col("full"), F.col("open_level"))).over(Window.partitionBy())
+    level = F.max(F.when(~F.col("full"), F.col("open_level"))).over(Window.partitionBy())
     return some.select("source", "source_size", "weight", F.when(F.col("full"), F.col("limit")).otherwise(F.col("weight") * level).alias("target"))
 
 

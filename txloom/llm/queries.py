@@ -59,7 +59,7 @@ w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1)
 l AS (SELECT *, (budget - coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_level FROM w),
 t AS (SELECT source, source_size, budget, CASE WHEN open_level >= lim / weight THEN lim
-             ELSE weight * min(CASE WHEN open_level < lim / weight THEN open_level END) OVER () END AS target FROM l),
+             ELSE weight * max(CASE WHEN open_level < lim / weight THEN open_level END) OVER () END AS target FROM l),
 r AS (SELECT d.*, t.source_size, t.target, t.budget,
              sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS words
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
