@@ -163,13 +163,13 @@ def _(spark, d):
     return G.camouflage(s.filter("split = 'train'"), s.filter("split = 'test'"))
 
 
-@query("gra26_neighbour_means", f"WITH {TX}, k AS (SELECT merchant_key AS entity, tx_id, amount, label, row_number() OVER (PARTITION BY merchant_key ORDER BY tx_id DESC) AS r FROM tx) SELECT entity, round(avg(amount), 4) AS amount, round(avg(label), 4) AS label FROM k WHERE r <= 25 GROUP BY entity")
+@query("gra26_neighbour_means", f"WITH {TX}, k AS (SELECT merchant_key AS entity, tx_id, amount, label, row_number() OVER (PARTITION BY merchant_key ORDER BY tx_id DESC) AS r FROM tx) SELECT entity, round(avg(amount) + 1e-7, 4) AS amount, round(avg(label) + 1e-7, 4) AS label FROM k WHERE r <= 25 GROUP BY entity")
 def _(spark, d):
     from ..operators import relational as R
 
     t = transactions(spark, d)
     near = R.top_k_per_group(t.select(F.col("merchant_key").alias("entity"), "tx_id"), ["entity"], [F.col("tx_id").desc()], 25, "r").select("entity", "tx_id")
-    return G.neighbour_means(near, t.select("tx_id", "amount", F.col("label").cast("double").alias("label")), ["amount", "label"]).withColumns({c: F.round(c, 4) for c in ("amount", "label")})
+    return G.neighbour_means(near, t.select("tx_id", "amount", F.col("label").cast("double").alias("label")), ["amount", "label"]).withColumns({c: F.round(F.col(c) + 1e-7, 4) for c in ("amount", "label")})
 
 
 @query("gra27_spectral_sketch")
