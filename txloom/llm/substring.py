@@ -209,7 +209,8 @@ def repeated(keyed_docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
     """
     base = cut(path_pieces(keyed_docs, span, anchor))
     rows = base.select(*KEYS, F.explode(F.arrays_zip("minimizers", "wholes", "places")).alias("x")).select(*KEYS, F.col("x.minimizers").alias("minimizer"), F.col("x.wholes").alias("whole"), F.col("x.places").alias("place"))
-    again = rows.groupBy("minimizer").agg(F.count("*").alias("n")).filter("n > 1").select("minimizer")
+    # written before the join, so that both its sides are exchanges and AQE can split a hot minimizer
+    again = cut(rows.groupBy("minimizer").agg(F.count("*").alias("n")).filter("n > 1").select("minimizer"))
     rows = cut(rows.join(again, "minimizer", "left_semi"))
     pair = rows.groupBy("minimizer", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "place")).alias("at"))
     paths = rows.join(pair.filter("n > 1").select("minimizer", "whole"), ["minimizer", "whole"], "left_semi").select(*KEYS, "place")
