@@ -118,7 +118,7 @@ def test_substring_in_blocks(monkeypatch):
 
 
 def test_shards_are_even_and_copies_stay_together(spark):
-    rows = [(i, f"text {i} " * (1 + i % 13), f"s{i % 3}", "en", i) for i in range(900)] + [(1000 + i, "copied text " * 9, f"s{i % 5}", "en", i) for i in range(120)]
+    rows = [(i, f"text {i} " * (1 + i % 13), f"s{i % 3}", "en", i) for i in range(900)] + [(1000 + i, "copied text " * 9, f"s{i % 5}", "en", i) for i in range(60)]
     got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")).toPandas()
     per = got.groupby("shard")["size"].sum()
     assert len(per) == 8 and per.max() - per.min() < 0.02 * per.mean() + got["size"].max() * 2

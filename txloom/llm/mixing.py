@@ -114,5 +114,6 @@ def mixture(docs: DataFrame, **rule: object) -> DataFrame:
         own = mixed(docs, **rule).filter("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("copies").alias("_copies"))
         rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")))
     else:
-        rows = mixed(docs, carry=tuple(c for c in columns if c not in ("doc_id", "source")), **rule).withColumnRenamed("copies", "_copies")
+        whole = docs.select("doc_id", "source", "text", F.struct(*columns).alias("_row"))
+        rows = mixed(whole, carry=("_row",), **rule).select(F.col("copies").alias("_copies"), "_row.*")
     return rows.filter("_copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(*columns)

@@ -28,6 +28,8 @@ from .common import cut, slices, texts
 SAMPLE = 4000
 HASHED, LEVELS = 4096, 16
 REJECT = 0.5
+#: How often a labeller is thought right before the votes are seen.
+TRUST = 0.9
 
 #: Character classes: space, line end, lower, upper, digit, sentence end, comma and the like, bracket or quote, other ASCII, beyond ASCII.
 CLASS = np.full(256, 8, np.uint8)
@@ -100,21 +102,26 @@ def patterns(docs: DataFrame) -> DataFrame:
 def estimate(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[int, float]]:
     """Share of junk, accuracy of each labeller, and the posterior of each pattern.
 
-    The start takes a document for junk if a labeller for junk speaks. Rates are smoothed as by a hundredth of a document, so none is 0 or 1.
+    A labeller that no other ever bears out gets no evidence from the votes, so each starts with a belief of being right
+    TRUST of the time, worth a hundredth of its votes (half a vote at least); the start takes a document for junk if a
+    labeller for junk speaks.
     """
     codes = sorted(counts)
     weight = np.array([counts[c] for c in codes], float)
     spoke = np.array([[c >> k & 1 for k in range(len(LABELLERS))] for c in codes], float).reshape(-1, len(LABELLERS))
     side = np.array([k for k, _ in LABELLERS])
-    post = np.where(spoke @ side > 0, 0.9, 0.05)
+    belief = np.maximum(0.5, weight @ spoke / 100)
+    for_junk = np.where(side == 1, TRUST, 1 - TRUST)
+    post = np.where(spoke @ side > 0, TRUST, 1 - TRUST)
     for _ in range(rounds):
-        share = (weight @ post + 0.01) / (weight.sum() + 1)
-        rates = [((weight * p) @ spoke + 0.01) / ((weight * p).sum() + 1) for p in (1 - post, post)]
-        new = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + spoke @ np.log(rates[1] / rates[0]), -50, 50)))
+        mass = [weight @ (1 - post) + 0.5, weight @ post + 0.5]
+        rates = [((weight * p) @ spoke + belief * t) / (m + belief) for p, t, m in ((1 - post, 1 - for_junk, mass[0]), (post, for_junk, mass[1]))]
+        new = 1 / (1 + np.exp(-np.clip(np.log(mass[1] / mass[0]) + spoke @ np.log(rates[1] / rates[0]), -50, 50)))
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
         if done:
             break
+    share = weight @ post / max(weight.sum(), 1)
     right = (weight * post) @ (spoke * side) + (weight * (1 - post)) @ (spoke * (1 - side))
     return float(share), (right + 0.01) / (weight @ spoke + 0.02), dict(zip(codes, post.tolist(), strict=True))
 

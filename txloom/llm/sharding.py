@@ -10,8 +10,8 @@ scaled to the dimension's range, 24 bits of a hash), and three rounds look at 16
 2**16 sums for a node and round, whatever the number of rows.
 
 Groups with over 1/HEAVY of a shard's bytes, of which there are at most shards * HEAVY, are dealt first, the largest
-to the emptiest shard, and the tree's leaves get what is left. Only a group larger than half a shard can't stay in
-one: its rows are dealt by a hash into parts of less than that.
+to the emptiest shard, and the tree's leaves get what is left. Only a group larger than a shard can't stay in one:
+its rows are dealt by a hash into parts of about a quarter of a shard.
 
 Laws: sizes are near equal (the law `bytes`). Null texts have no bytes and are equal to the empty text here. Repeated
 rows are rows of their own. Null metadata count as the empty string. Fewer groups than shards leave shards empty;
@@ -126,8 +126,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, metadata: tuple[str, ...] = (
     rows = docs.select("doc_id", size(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"), *dict.fromkeys([*metadata, *keep]))
     rows = cut(rows)
     total = rows.agg(F.sum("size")).first()[0] or 0
-    whole = rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > F.lit(total / shards / 2)).select("k1", "k2", F.ceil(F.col("bytes") / F.lit(max(total, 1) / shards / 4)).alias("parts"))
-    parts = {(g["k1"], g["k2"]): g["parts"] for g in whole.collect()}  # at most 2 * shards groups have so many bytes
+    whole = rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > F.lit(total / shards)).select("k1", "k2", F.ceil(F.col("bytes") / F.lit(max(total, 1) / shards / 4)).alias("parts"))
+    parts = {(g["k1"], g["k2"]): g["parts"] for g in whole.collect()}  # fewer than `shards` groups have so many bytes
     of = F.lit(0)
     for (k1, k2), n in parts.items():
         of = F.when((F.col("k1") == k1) & (F.col("k2") == k2), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(n)).cast("int")).otherwise(of)
