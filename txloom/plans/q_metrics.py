@@ -170,14 +170,14 @@ def _(spark, d):
     return M.spearman(g, "a", "b")
 
 
-_LONG = f"{EV}, l AS (SELECT user_key, channel AS method, round(avg(amount), 4) AS value FROM ev GROUP BY ALL)"
+_LONG = f"{EV}, l AS (SELECT user_key, channel AS method, avg(amount) AS value FROM ev GROUP BY ALL)"
 
 
 @query("met24_paired_deltas", f"WITH {_LONG}, j AS (SELECT a.method AS a, b.method AS b, b.value - a.value AS d FROM l a JOIN l b USING (user_key) WHERE a.method < b.method) SELECT a, b, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, round(quantile_cont(d, 0.5), 6) AS median, count(*) FILTER (d > 1e-12) AS wins, count(*) FILTER (abs(d) <= 1e-12) AS ties, count(*) FILTER (d < -1e-12) AS losses FROM j GROUP BY ALL")
 def _(spark, d):
     from ..sources.fixtures import tx_events
 
-    long = tx_events(spark, d).groupBy("user_key", F.col("channel").alias("method")).agg(F.round(F.avg("amount"), 4).alias("value"))
+    long = tx_events(spark, d).groupBy("user_key", F.col("channel").alias("method")).agg(F.avg("amount").alias("value"))
     return M.paired_deltas(long, "user_key", "method", "value")
 
 
@@ -272,7 +272,7 @@ def _(spark, d):
 def _(spark, d):
     from ..sources.fixtures import tx_events
 
-    long = tx_events(spark, d).groupBy("user_key", F.col("channel").alias("method")).agg(F.round(F.avg("amount"), 4).alias("value"))
+    long = tx_events(spark, d).groupBy("user_key", F.col("channel").alias("method")).agg(F.avg("amount").alias("value"))
     a, b = (long.filter(F.col("method") == m).select("user_key", F.col("value").alias(n)) for m, n in (("click", "a"), ("view", "b")))
     x = a.join(b, "user_key").withColumn("d", F.col("b") - F.col("a"))
     gate = {"enough": F.count("*") >= 3, "better": F.avg("d") > 0, "median_better": F.percentile("d", 0.5) > 0, "mostly": F.avg((F.col("d") > 0).cast("double")) >= 0.6, "no_collapse": F.min("d") > -50}
