@@ -145,7 +145,7 @@ def test_run_folder_states(tmp_path):
     assert run.status()["status"] == "failed"
     with run:
         pass
-    assert run.status() == {"attempts": 2, "error": "broken", "status": "complete"}
+    assert run.status() == {"attempts": 2, "status": "complete"}
     with pytest.raises(ValueError, match="complete"), run:
         pass
 
