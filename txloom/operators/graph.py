@@ -130,7 +130,7 @@ def pagerank(df: DataFrame, beta: float = 0.15, steps: int = 3) -> DataFrame:
     """
     pairs = df.groupBy("user_key", "merchant_key").agg(F.count("*").alias("w"))
     arcs = pairs.select(F.struct(F.lit("u").alias("s"), F.col("user_key").cast("long").alias("e")).alias("a"), F.struct(F.lit("m").alias("s"), F.col("merchant_key").cast("long").alias("e")).alias("b"), "w")
-    arcs = arcs.union(arcs.select("b", "a", "w"))
+    arcs = cut(arcs.union(arcs.select("b", "a", "w")))  # every step reads them; without the cut each would join the tables anew
     out = arcs.groupBy("a").agg(F.sum("w").alias("d"))
     n = F.broadcast(out.agg(F.count("*").alias("_n")))
     nodes = out.crossJoin(n)
