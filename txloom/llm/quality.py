@@ -103,14 +103,14 @@ def estimate(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarr
     """Share of junk, accuracy of each labeller, and the posterior of each pattern.
 
     A labeller that no other ever bears out gets no evidence from the votes, so each starts with a belief of being right
-    TRUST of the time, worth a hundredth of its votes (half a vote at least); the start takes a document for junk if a
+    TRUST of the time, worth as much as its votes (half a vote at least); the start takes a document for junk if a
     labeller for junk speaks.
     """
     codes = sorted(counts)
-    weight = np.array([counts[c] for c in codes], float)
+    weight = np.array([counts[c] if c else 0 for c in codes], float)  # silence on a document says nothing about the classes
     spoke = np.array([[c >> k & 1 for k in range(len(LABELLERS))] for c in codes], float).reshape(-1, len(LABELLERS))
     side = np.array([k for k, _ in LABELLERS])
-    belief = np.maximum(0.5, weight @ spoke / 100)
+    belief = np.maximum(0.5, weight @ spoke)
     for_junk = np.where(side == 1, TRUST, 1 - TRUST)
     post = np.where(spoke @ side > 0, TRUST, 1 - TRUST)
     for _ in range(rounds):
