@@ -212,6 +212,17 @@ def test_packing_round_trip(spark, sf_dir):
     assert len(places) <= 1.02 * total / 1024 + 1
 
 
+def test_ids_of_texts_whose_separators_cancel():
+    """As many tabs inside words as further spaces and line ends; the library without any setting of ours."""
+    from tokenizers import Tokenizer
+
+    tok, words, r = Tokenizer.from_file(packing.vocabulary()), packing.Words(packing.vocabulary()), np.random.default_rng(7)
+    odd = ["A\tB\tC\n\n", "x\ty\tz\n\n\nw", "a\tb  c", "a\u00a0b \n c", "a\x1cb  c", "\tx  y\tz", "a b\t", "a\t b\tc d"]
+    odd += ["".join(r.choice(["ab", "é", "12", "'s", " ", " ", "\n", "\t", "\r", "\u2003", "\x1f"], r.integers(1, 14))) for _ in range(3000)]
+    for t in odd:
+        assert words.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_is_as_good_as_best_fit_and_whole(seed):
     r = np.random.default_rng(seed)

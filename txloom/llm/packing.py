@@ -51,6 +51,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class OddSpace(Exception):
+    """A part of a text is no single word, so the text can't be taken a word at a time."""
+
+
+def plain(part: str) -> bool:
+    """One word, with no white space of any kind in it."""
+    return part.split() == [part]
+
+
 class Words(dict):
     """Little-endian ids of words with the space or line end before them; forgets all when it holds too many."""
 
@@ -65,6 +74,8 @@ class Words(dict):
         self.encode = tiktoken.Encoding("words", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
+        if not plain(word.removeprefix("\n")):
+            raise OddSpace
         if len(self) > 400_000:
             self.clear()
         ids = self[word] = array("I", self.encode(word if word[:1] == "\n" else " " + word)).tobytes()
@@ -73,9 +84,12 @@ class Words(dict):
     def ids(self, text: str) -> bytes:
         """A single space or line end before a word is always part of its first token, so such words can't affect each other."""
         head, *rest = text.replace("\n", " \n").split(" ")
-        if not head or head[0].isspace() or len(rest) + 1 != len(text.split()):
-            return array("I", self.encode(text)).tobytes()  # other white space, or several in a row
-        return array("I", self.encode(head)).tobytes() + b"".join(map(self.__getitem__, rest))
+        if plain(head):
+            try:
+                return array("I", self.encode(head)).tobytes() + b"".join(map(self.__getitem__, rest))
+            except OddSpace:
+                pass
+        return array("I", self.encode(text)).tobytes()  # other white space, or several in a row
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
