@@ -321,6 +321,17 @@ def test_audio_round_trip_and_resampling(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
 
 
+def test_dedup_stage_keeps_what_is_no_duplicate(spark):
+    """Null and repeated doc_ids with different texts; a copy of another document under a repeated id."""
+    import corpus_pipeline as pipeline
+
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(None, "a"), (None, "b"), (7, "c"), (7, "d"), (7, "e"), (3, "e"), (9, "f"), (9, "f"), (None, "f"), (8, "g"), (None, "g")]
+    docs = spark.createDataFrame([(d, text(t), "en", None if t == "b" else "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.text, r.doc_id) for r in pipeline.first_of_near_duplicates(spark, docs, "").collect())
+    assert got == sorted([(text("a"), None), (text("b"), None), (text("c"), 7), (text("d"), 7), (text("e"), 3), (text("f"), 9), (text("g"), 8)])
+
+
 @pytest.mark.parametrize("name", sorted(llm.ORACLE_SQL))
 def test_same_as_sql(name, same):
     same(llm.QUERIES[name], llm.ORACLE_SQL[name])
