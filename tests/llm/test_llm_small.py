@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from txloom.llm import audio, chunks, components, mixing, packing, quality, secret_scan, sharding, simhash, substring, url_filter
+from txloom.llm import audio, chunks, components, mixing, packing, quality, secret_scan, sharding, similar, simhash, substring, url_filter
 from txloom.llm import queries as llm
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, fp string, score double, part int"
@@ -321,6 +321,41 @@ def test_audio_round_trip_and_resampling(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
 
 
+def near_by_brute_force(texts, width=5):
+    """The component of each text: Jaccard similarity of word shingles of at least 4/5, or equal words."""
+    words = [[x.translate(simhash.UPPER) for x in split(t)] for t in texts]
+    sets = [{tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set() for w in words]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if words[i] == words[j] or 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) > 0:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def test_similar_groups_lose_no_pair(spark, sf_dir):
+    r = np.random.default_rng(11)
+    texts = [x.text for x in llm.documents(spark, sf_dir).collect()]
+    for t in texts[:50]:
+        w = (t or "").split()
+        for n in (1, 2, 4, 8):
+            if len(w) > 20:
+                texts.append(" ".join("changed" if i in set(r.choice(len(w), n).tolist()) else x for i, x in enumerate(w)))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [passage + "".join(f" x{i}_{j}" for j in range(i % 20)) for i in range(80)] + ODD + ["a b", "A  B", "a b c"]
+    got = {q.key: q.root for q in similar.groups(spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect()}
+    want = near_by_brute_force(texts)
+    assert len(set(want)) < len(texts) and len(got) == len(texts)
+    assert len({(got[i], want[i]) for i in got}) == len(set(got.values())) == len(set(want))
+
+
 def test_dedup_stage_keeps_what_is_no_duplicate(spark):
     """Null and repeated doc_ids with different texts; a copy of another document under a repeated id."""
     import corpus_pipeline as pipeline
