@@ -161,3 +161,16 @@ def test_entry_runs(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_queries_without_sql_read_all_rows(spark, sf_dir):
+    from txloom.plans import q_metrics, q_relational, registry
+    from txloom.sources.fixtures import transactions
+
+    n = transactions(spark, sf_dir).count()
+    assert registry.QUERIES["mod3_causal_forward"](spark, sf_dir).count() == n
+    assert q_relational.runs(spark, sf_dir, whole=True)[1].count() == q_metrics._discordant(spark, sf_dir, whole=True).count() == n
+    pairs = q_metrics.M.mcnemar(q_metrics._discordant(spark, sf_dir, whole=True), ["channel", "state_key"], "a", "b")
+    want = q_metrics.M.holm(pairs, "p", ["channel"], "state_key")
+    assert registry.QUERIES["met28_mcnemar_holm"](spark, sf_dir).count() == want.count() > 0
+    assert registry.QUERIES["met26_block_bootstrap"](spark, sf_dir).count() > 0

@@ -195,7 +195,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.relational import paired
 
-    a, b = runs(spark, d)
+    a, b = runs(spark, d, whole=True)
     days = transactions(spark, d).select("tx_id", F.to_date("ts").alias("day"))
     j = paired(a, b, "tx_id").join(days, "tx_id").withColumn("delta", F.col("score_b") - F.col("score_a"))
     return M.bootstrap_mean(j, "delta", "day", 200, 26)
@@ -217,10 +217,10 @@ def _(spark, d):
     return ap.agg(F.avg("ap").alias("mean"), F.percentile("ap", 0.025).alias("lo"), F.percentile("ap", 0.975).alias("hi"))
 
 
-def _discordant(spark, d):  # noqa: ANN001, ANN202
+def _discordant(spark, d, whole=False):  # noqa: ANN001, ANN202
     from ..operators.relational import paired
 
-    j = paired(*runs(spark, d), "tx_id").join(transactions(spark, d).select("tx_id", "channel", "state_key"), "tx_id")
+    j = paired(*runs(spark, d, whole), "tx_id").join(transactions(spark, d).select("tx_id", "channel", "state_key"), "tx_id")
     return j.select("channel", "state_key", F.col("label_a").alias("label"), (F.col("score_a") >= 0.5).cast("int").alias("a"), (F.col("score_b") >= 0.5).cast("int").alias("b"))
 
 
@@ -231,7 +231,7 @@ def _(spark, d):
 
 @query("met28_mcnemar_holm")
 def _(spark, d):
-    return M.holm(M.mcnemar(_discordant(spark, d), ["channel", "state_key"], "a", "b"), "p", ["channel"], "state_key")
+    return M.holm(M.mcnemar(_discordant(spark, d, whole=True), ["channel", "state_key"], "a", "b"), "p", ["channel"], "state_key")
 
 
 @query("met29_daily_delta", f"WITH {_RUNS}, j AS (SELECT ts::DATE::VARCHAR AS day, ra.score AS a, rb.score AS b FROM ra JOIN rb USING (tx_id) JOIN tx USING (tx_id)) SELECT day, count(*) AS rows, round(avg(b) - avg(a), 6) AS delta FROM j GROUP BY day")

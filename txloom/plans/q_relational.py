@@ -12,9 +12,10 @@ from .registry import query
 _RUNS = f"{SCORED}, ra AS (SELECT tx_id, label, score FROM sc), rb AS (SELECT tx_id, label, floor({U.format("'5|' || tx_id")} * 100) / 100.0::DOUBLE AS score FROM tx WHERE tx_id % 3 = 0)"
 
 
-def runs(spark, d):  # noqa: ANN001, ANN201
+def runs(spark, d, whole=False):  # noqa: ANN001, ANN201
+    """Runs A and B; B has a third of the rows, as the SQL of the queries that read it states, or with whole all."""
     a = scored(transactions(spark, d)).select("tx_id", "label", "score")
-    b = transactions(spark, d).filter("tx_id % 3 = 0").select("tx_id", "label", (F.floor(uniform(5, "tx_id") * 100) / 100.0).alias("score"))
+    b = transactions(spark, d).filter("true" if whole else "tx_id % 3 = 0").select("tx_id", "label", (F.floor(uniform(5, "tx_id") * 100) / 100.0).alias("score"))
     return a, b
 
 
