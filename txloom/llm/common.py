@@ -29,6 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def row_key(columns: list[str]) -> Column:
+    """A hash of the whole row that tells a null from any value; equal only for rows that repeat one another."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in columns), F.concat(*(F.col(f"`{c}`").isNull().cast("string") for c in columns)))
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; 0 for null and for white space only."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

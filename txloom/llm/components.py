@@ -18,15 +18,17 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps, whose number grows as the logarithm of the longest path,
     and which never list a component's pairs: every step has at most as many links as there were.
-    Nodes without links are their own component. Links to themselves and repeated links do no harm.
+    Nodes without links are their own component. Links to themselves and repeated links do no harm; a link with a null end
+    is none. A null node is its own component's null. Tables may be empty.
     """
     name = nodes.columns[0]
-    now = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a IS NOT NULL AND b IS NOT NULL").filter("u <> v").distinct())
     seen = None
     while (mark := _mark(now)) != seen:
         seen = mark
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # written before the join, so that both its sides are exchanges and a component's root can be split
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         roots = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(roots, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct()

@@ -25,7 +25,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import cut, n_words, row_key
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: About so many rows in a window's partition.
@@ -106,14 +106,11 @@ def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS
 def mixture(docs: DataFrame, **rule: object) -> DataFrame:
     """The columns of docs, a row for each copy that the mix takes.
 
-    The rule is worked out on numbers alone and joined back by doc_id, so texts are exchanged once. Where doc_ids repeat, the
-    texts go along through the rule instead, so each row keeps its own decision.
+    The rule is worked out on numbers and a hash of each row, and joined back by that hash, so texts are exchanged once. Rows
+    that repeat one another in all columns are joined as one, with the copies of all of them.
     """
     columns = docs.columns
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        own = mixed(docs, **rule).filter("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("copies").alias("_copies"))
-        rows = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    else:
-        whole = docs.select("doc_id", "source", "text", F.struct(*columns).alias("_row"))
-        rows = mixed(whole, carry=("_row",), **rule).select(F.col("copies").alias("_copies"), "_row.*")
-    return rows.filter("_copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(*columns)
+    keyed = docs.withColumn("_key", row_key(columns))
+    own = mixed(keyed, carry=("_key",), **rule).filter("copies > 0").groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies"))
+    rows = keyed.dropDuplicates(["_key"]).join(own, "_key")
+    return rows.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).select(*columns)

@@ -1,9 +1,9 @@
 """Secret scans with an incremental blob ledger.
 
 A blob is a text, known by its SHA-256. The ledger has a row for each blob and rule version that was scanned, with
-the spans found. A scan drops the blobs that the ledger has under the rules' version (an anti-join on the digest),
-reads each of the others once in a task, appends them, and joins the findings back to every path (doc_id), so copies and
-old versions of a document share one scan.
+the spans found. A scan drops the blobs that the ledger has under the rules' version (an anti-join on digests alone),
+scans the others, appends them, and joins the findings back to every path (doc_id), so copies and old versions of a
+document share one scan. Redaction takes its spans from the ledger.
 
 Rules: three base kinds, whose spans always stay, and kinds that the method adds (EXTRA). Per kind, matches are
 leftmost and do not overlap; matches that are too short are dropped afterwards. Spans are in code points, the end
@@ -96,24 +96,31 @@ def scanned(docs: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, version: str = VERSION) -> tuple[DataFrame, DataFrame]:
     """(findings: doc_id, blob, spans for each row of docs; the ledger with the new blobs: blob, version, spans).
 
-    ledger: what an earlier scan returned; its rows of other versions stay and don't count as seen.
+    ledger: what an earlier scan returned; its rows of other versions stay and don't count as seen. Without one, blobs are
+    named and scanned in one pass, and a task that meets a blob again doesn't scan it again. With one, blobs are named first;
+    texts are read for a scan only if some blob is new under the version, and each new blob is scanned in one task.
     """
     if ledger is None:
         paths = cut(scanned(docs))
-        fresh = paths.filter("spans is not null").groupBy("blob").agg(F.first("spans").alias("spans")).select("blob", F.lit(version).alias("version"), "spans")
-        new = fresh
+        new = cut(fresh(paths, version))
     else:
         blob = F.sha2(F.coalesce("text", F.lit("")), 256)
-        seen = ledger.filter(F.col("version") == version)
-        unseen = docs.select("doc_id", "text", blob.alias("blob")).join(seen.select("blob"), "blob", "left_anti")
-        found = cut(scanned(unseen))
-        fresh = found.filter("spans is not null").groupBy("blob").agg(F.first("spans").alias("spans")).select("blob", F.lit(version).alias("version"), "spans")
-        new = cut(ledger.unionByName(fresh))
-        paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob.alias("blob"))
+        paths = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob.alias("blob")))
+        seen = ledger.filter(F.col("version") == version).select("blob")
+        unseen = cut(paths.select("blob").distinct().join(seen, "blob", "left_anti"))
+        new = ledger
+        if not unseen.isEmpty():
+            once = docs.select("text", blob.alias("blob")).join(unseen, "blob", "left_semi").dropDuplicates(["blob"])
+            new = cut(ledger.unionByName(fresh(scanned(once.select(F.lit(None).cast("long").alias("doc_id"), "text")), version)))
     hits = new.filter((F.col("version") == version) & (F.size("spans") > 0)).select("blob", "spans")
     return paths.select("doc_id", "blob").join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans")), new
 
 
+def fresh(found: DataFrame, version: str) -> DataFrame:
+    """Ledger rows of what scanned() found."""
+    return found.filter("spans is not null").groupBy("blob").agg(F.first("spans").alias("spans")).select("blob", F.lit(version).alias("version"), "spans")
+
+
 def joined(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
@@ -128,23 +135,31 @@ def digest(findings: DataFrame) -> DataFrame:
     return findings.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redact(text: Column) -> Column:
-    """The text with each span of any kind replaced by `[SECRET]` (overlapping spans: by one)."""
+def without(text: str, found: list[dict]) -> str:
+    """The text with each span replaced by `[SECRET]` (overlapping spans: by one)."""
+    out, at = [], 0
+    for s in found:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], "[SECRET]"]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
 
-    @F.pandas_udf("string")
-    def run(column):  # noqa: ANN001, ANN202
-        def one(t: str | None) -> str | None:
-            raw = (t or "").encode()
-            found = spans(raw)
-            if not found:
-                return t
-            out, at = [], 0
-            for _, a, b in found:
-                if a >= at:
-                    out += [raw[at:a], b"[SECRET]"]
-                at = max(at, b)
-            return b"".join([*out, raw[at:]]).decode()
 
-        return column.map(one)
+def redacted(docs: DataFrame, ledger: DataFrame, version: str = VERSION) -> DataFrame:
+    """The columns of docs; each span that the ledger has for a text's blob is replaced by `[SECRET]`.
+
+    Nothing is scanned. A text whose blob the ledger hasn't stays as it is, as does a null. Other columns are kept.
+    """
+    columns = docs.columns
+    hits = ledger.filter((F.col("version") == version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    rows = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(hits, "_blob", "left").select(*columns, "_spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            out, found = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
+            for i, some in enumerate(found):
+                if some:
+                    out[i] = without(out[i], some)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in columns], columns)
 
-    return run(text)
+    return rows.mapInArrow(run, docs.schema)

@@ -13,9 +13,14 @@ A table of whole-fingerprint distances alone can only be scanned pair by pair, s
 * *whole pivots*: pseudo-random fingerprints. Candidates whose maximum coordinate difference exceeds LIMIT
   are discarded, and the survivors are verified.
 
+Ranges of whole coordinates can't choose the candidates: two random fingerprints differ by 5.7 in the mean square there, so
+a range of LIMIT either way holds half of all rows, while cells of that width put each row in two of them. A coordinate
+would cost as much as it saves. In a block that agrees, the difference is 0, and a coordinate halves the rows at no cost.
+
 Distinct fingerprints are the nodes, so copies never form pairs. Groups of many close fingerprints are first
-contracted by exact one-bit links (64 keys for each node, no pairs), and a bucket whose nodes are all in one
-component is dropped before pairs are made, so a dense group doesn't give the square of its size.
+contracted by exact one-bit links (64 keys for each node, no pairs). A bucket whose nodes are all in one
+component is dropped before pairs are made; in the others, only nodes outside the bucket's largest component are paired
+with all, so neither a dense group nor a stranger in its bucket gives the square of the group's size.
 
 Nulls and texts without words have fingerprint zero and link like any other. Repeated rows stay repeated. A
 null doc_id never is a component's id unless no member has one. Other columns of the input are ignored.
@@ -100,9 +105,9 @@ def whole_pivots(fp: Column, n: int = WHOLE_PIVOTS) -> list[Column]:
 def buckets(nodes: DataFrame, limit: int = LIMIT, n_blocks: int = BLOCKS) -> DataFrame:
     """A row for each node and choice of n_blocks - limit blocks; key: the choice and these blocks' coordinates."""
     coordinates = [F.xxhash64(*block_pivots(F.col("fp"), m)) for m in blocks(n_blocks)]
-    table = nodes.select(*nodes.columns, *(c.alias(f"c{i}") for i, c in enumerate(coordinates)), F.array(*whole_pivots(F.col("fp"))).alias("pivots"))
+    table = nodes.select(*nodes.columns, *(c.alias(f"c{i}") for i, c in enumerate(coordinates)))
     keys = [F.xxhash64(F.lit(k), *(F.col(f"c{i}") for i in some)) for k, some in enumerate(itertools.combinations(range(n_blocks), n_blocks - limit))]
-    return table.select(*nodes.columns, "pivots", F.explode(F.array(*keys)).alias("key"))
+    return table.select(*nodes.columns, F.explode(F.array(*keys)).alias("key"))
 
 
 def one_bit_links(nodes: DataFrame) -> DataFrame:
@@ -115,15 +120,19 @@ def one_bit_links(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Pairs (a, b) of components of nodes (fp, comp) that have members within the limit.
 
-    A bucket in which all nodes are of one component gives nothing.
+    A bucket in which all nodes are of one component gives nothing; in the others its largest component meets the rest only.
     """
     rows = buckets(nodes, limit)
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     rows = cut(rows.join(mixed, "key", "left_semi"))
-    a, b = (rows.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "comp", "pivots"))) for side in "ab")
+    most = cut(rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("comp", "c").alias("most")))
+    table = rows.join(most, "key").withColumn("pivots", F.array(*whole_pivots(F.col("fp"))))
+    a, b = (table.select("key", "most", *(F.col(c).alias(f"{c}_{side}") for c in ("fp", "comp", "pivots"))) for side in "ab")
     far = F.greatest(*(F.abs(F.col("pivots_a")[i] - F.col("pivots_b")[i]) for i in range(WHOLE_PIVOTS)))
-    close = (F.col("comp_a") < F.col("comp_b")) & (far <= limit) & (distance(F.col("fp_a"), F.col("fp_b")) <= limit)
-    return a.join(b, "key").filter(close).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct()
+    once = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("most")) | (F.col("comp_a") < F.col("comp_b")))
+    close = once & (far <= limit) & (distance(F.col("fp_a"), F.col("fp_b")) <= limit)
+    near = a.filter("comp_a <> most").join(b.drop("most"), "key").filter(close)
+    return near.select(F.least("comp_a", "comp_b").alias("a"), F.greatest("comp_a", "comp_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -131,8 +140,10 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     marked = cut(fingerprints(docs))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     plain = nodes.select("fp")
-    coarse = connected(plain, one_bit_links(plain)).withColumnsRenamed({"node": "fp"})
+    coarse = cut(connected(plain, one_bit_links(plain)).withColumnsRenamed({"node": "fp"}))
     merged = connected(coarse.select(F.col("comp").alias("fp")).distinct(), links(coarse, limit)).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-    joined = coarse.join(merged, "comp").join(nodes, "fp").select("fp", "root", "least")
-    ids = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    # written before the joins, so that their sides are exchanges and the rows of a large component can be split
+    joined = cut(coarse.join(cut(merged), "comp").join(nodes, "fp").select("fp", "root", "least"))
+    least = cut(joined.groupBy("root").agg(F.min("least").alias("component_id")))
+    ids = joined.join(least, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
