@@ -14,8 +14,8 @@ The pieces then need only their rank among the pieces of their length. Ranks are
 and the buckets' counts, so a length that a third of all pieces has is no hot task. The plan goes to the executors with the
 tasks; its size is bounded by the number of lengths.
 
-Token ids: tiktoken with the vocabulary's ranks, a word at a time through a bounded dictionary. A test holds them against
-the `tokenizers` file. A null text is empty and has the end token alone. Repeated rows are packed like any others.
+Token ids: tiktoken with the vocabulary's ranks, a word at a time through a bounded dictionary. Tests hold them against
+the `tokenizers` library as it is. A null text is empty and has the end token alone. Repeated rows are packed like any others.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import itertools
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -46,6 +47,7 @@ def vocabulary() -> str:
 
 def byte_letters() -> dict[str, int]:
     """The letters that byte-level vocabularies write bytes with: printable bytes as they are, others from 256 on."""
+    # Fixed values of the vocabulary's format: the ranges of printable bytes.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
@@ -63,13 +65,15 @@ def plain(part: str) -> bool:
 class Words(dict):
     """Little-endian ids of words with the space or line end before them; forgets all when it holds too many."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters, special = byte_letters(), {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        letters, added = byte_letters(), {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
+        self.added = {t: array("I", [i]).tobytes() for t, i in added.items()} if special else {}
+        # Fixed value of the vocabulary's format: what its pre-tokenizer takes for a word.
         self.pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encode = tiktoken.Encoding("words", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -82,6 +86,13 @@ class Words(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        """The ids of a text; an added token in it is its own id if this was asked for, and ordinary text otherwise."""
+        if any(t in text for t in self.added):
+            parts = re.split("(" + "|".join(map(re.escape, self.added)) + ")", text)
+            return b"".join(self.added[p] if p in self.added else self.plain_ids(p) for p in parts if p)
+        return self.plain_ids(text)
+
+    def plain_ids(self, text: str) -> bytes:
         """A single space or line end before a word is always part of its first token, so such words can't affect each other."""
         head, *rest = text.replace("\n", " \n").split(" ")
         if plain(head):
@@ -92,14 +103,16 @@ class Words(dict):
         return array("I", self.encode(text)).tobytes()  # other white space, or several in a row
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, special: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, for each piece of each row."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     tail = array("I", [end]).tobytes()
-    kept: dict[str, Words] = {}
+    kept: list[Words] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept.setdefault(path, Words(path)) if path not in kept else kept[path]
+        if not kept:
+            kept.append(Words(path, special))
+        words = kept[0]
         for batch in slices(batches, "text"):
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -209,10 +222,14 @@ class Plan:
                     open_groups.setdefault(room - n, []).append((first, done))
 
 
-def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, for each piece."""
+def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, special: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, for each piece.
+
+    special: an added token of the vocabulary in a text is its own id, as `tokenizers` has it; by default a corpus's text can't
+    write control tokens.
+    """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    rows = cut(pieces(docs, path or vocabulary(), capacity, end))
+    rows = cut(pieces(docs, path or vocabulary(), capacity, end, special))
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most `capacity` rows
     runs = sorted(Plan(counts, capacity).runs)
     table = np.array(runs, np.int64).reshape(-1, 5)

@@ -91,7 +91,7 @@ def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(documents(spark, sf_dir))
+    return packing.packed(documents(spark, sf_dir), special=True)
 
 
 @query
