@@ -1,11 +1,12 @@
 """Quality by a weak-label model.
 
 Overlapping heuristic labellers look at every document. Each speaks for one class: those for junk know one kind of junk
-each, so their silence says nothing; one speaks for good prose. Documents are counted by the pattern of labellers that
-spoke, of which there are at most 2 ** len(LABELLERS), so expectation-maximisation runs on these counts and sees the whole
-corpus. It estimates the share of junk and each labeller's accuracy (how often it is right when it speaks); its posterior is
-each document's soft label. A linear scorer over hashed features learns the posterior on a sample of about SAMPLE documents
-(chosen by a hash of the text) and scores every document. No gold labels are used; the test holds the scorer against them.
+each, one speaks for good prose. Documents are counted by the pattern of labellers that spoke, of which there are at most
+2 ** len(LABELLERS), so expectation-maximisation runs on these counts and sees the whole corpus. For each class it estimates
+how often each labeller speaks (so silence counts for what it is worth), from these the share of junk and each labeller's
+accuracy (how often it is right when it speaks); its posterior is each document's soft label. A linear scorer over hashed
+features learns the posterior on a sample of at most SAMPLE distinct texts (chosen by a hash of the text, without words:
+none) and scores every document. No gold labels are used; the test holds the scorer against them.
 
 Features: frequencies of character-class sequences of the whole text, hashed, and levels of word statistics, hashed.
 A text without words (null, empty, white space) gets score 1 and is rejected; it is not trained on. Rows of equal text
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, texts
 
-#: Documents that the scorer is trained on, at most (in the mean of the hash).
+#: Distinct texts that the scorer is trained on, at most.
 SAMPLE = 4000
 HASHED, LEVELS = 4096, 16
 REJECT = 0.5
-#: How often a labeller is thought right before the votes are seen.
-TRUST = 0.9
+#: How often a labeller is thought right before the votes are seen, and what that is worth as a share of its votes.
+TRUST, STRENGTH = 0.9, 0.02
+#: Words of a window in which variety is measured, so that a text's length has no part in it.
+WINDOW = 200
 
 #: Character classes: space, line end, lower, upper, digit, sentence end, comma and the like, bracket or quote, other ASCII, beyond ASCII.
 CLASS = np.full(256, 8, np.uint8)
@@ -40,6 +43,14 @@ PLACE = np.array([xxhash.xxh32_intdigest(i.to_bytes(2, "little"), 3) % HASHED fo
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
+def variety(words: list[bytes]) -> float:
+    """Share of distinct words in the mean of windows over the whole text (a last, shorter one left out of several)."""
+    parts = [words[i : i + WINDOW] for i in range(0, len(words), WINDOW)]
+    if len(parts) > 1 and len(parts[-1]) < WINDOW:
+        parts.pop()
+    return sum(len(set(p)) / len(p) for p in parts) / len(parts)
+
+
 def statistics(text: bytes) -> dict[str, float]:
     """Shares that the labellers judge by."""
     words = text.split()
@@ -56,7 +67,7 @@ def statistics(text: bytes) -> dict[str, float]:
         "marks": sum(not b for b in bare) / n,
         "shout": sum(b.decode().isupper() for b in letters) / max(len(letters), 1),
         "stutter": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        "variety": len(set(words)) / n,
+        "variety": variety(words),
         "lines": 1 - len(set(lines)) / max(len(lines), 1),
     }
 
@@ -99,34 +110,36 @@ def patterns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pattern int")
 
 
-def estimate(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[int, float]]:
+def estimate(counts: dict[int, int], rounds: int = 500) -> tuple[float, np.ndarray, dict[int, float]]:
     """Share of junk, accuracy of each labeller, and the posterior of each pattern.
 
-    A labeller that no other ever bears out gets no evidence from the votes, so each starts with a belief of being right
-    TRUST of the time, worth as much as its votes (half a vote at least); the start takes a document for junk if a
-    labeller for junk speaks.
+    The start takes a document for junk if labellers for junk alone speak, and for good if the other one does alone. The belief
+    that a labeller is right TRUST of the time is worth STRENGTH of its votes and one more, so it decides where there are hardly
+    any. A document on which all are silent gets the share of junk.
     """
     codes = sorted(counts)
-    weight = np.array([counts[c] if c else 0 for c in codes], float)  # silence on a document says nothing about the classes
+    weight = np.array([counts[c] for c in codes], float)
     spoke = np.array([[c >> k & 1 for k in range(len(LABELLERS))] for c in codes], float).reshape(-1, len(LABELLERS))
     side = np.array([k for k, _ in LABELLERS])
-    belief = np.maximum(0.5, weight @ spoke)
+    junk, good = spoke @ side > 0, spoke @ (1 - side) > 0
+    post = np.where(junk & ~good, TRUST, np.where(good & ~junk, 1 - TRUST, 0.5))
+    belief = 1 + STRENGTH * (weight @ spoke)
     for_junk = np.where(side == 1, TRUST, 1 - TRUST)
-    post = np.where(spoke @ side > 0, TRUST, 1 - TRUST)
     for _ in range(rounds):
-        mass = [weight @ (1 - post) + 0.5, weight @ post + 0.5]
-        rates = [((weight * p) @ spoke + belief * t) / (m + belief) for p, t, m in ((1 - post, 1 - for_junk, mass[0]), (post, for_junk, mass[1]))]
-        new = 1 / (1 + np.exp(-np.clip(np.log(mass[1] / mass[0]) + spoke @ np.log(rates[1] / rates[0]), -50, 50)))
+        mass = [weight @ (1 - post) + 1, weight @ post + 1]
+        rates = [np.clip(((weight * p) @ spoke + belief * t) / (m + belief), 1e-6, 1 - 1e-6) for p, t, m in ((1 - post, 1 - for_junk, mass[0]), (post, for_junk, mass[1]))]
+        said = spoke @ np.log(rates[1] / rates[0]) + (1 - spoke) @ np.log((1 - rates[1]) / (1 - rates[0]))
+        new = 1 / (1 + np.exp(-np.clip(np.log(mass[1] / mass[0]) + said, -50, 50)))
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new
         if done:
             break
     share = weight @ post / max(weight.sum(), 1)
     right = (weight * post) @ (spoke * side) + (weight * (1 - post)) @ (spoke * (1 - side))
-    return float(share), (right + 0.01) / (weight @ spoke + 0.02), dict(zip(codes, post.tolist(), strict=True))
+    return float(share), (right + 0.01) / (weight @ spoke + 0.02), dict(zip(codes, np.where(spoke.any(1), post, share).tolist(), strict=True))
 
 
-def features(text: bytes) -> np.ndarray:
+def features(text: bytes, s: dict[str, float] | None = None) -> np.ndarray:
     """Hashed frequencies of sequences of four character classes, then one-hot levels of each word statistic."""
     c = CLASS[np.frombuffer(text, np.uint8)].astype(np.int64)
     out = np.zeros(HASHED + 6 * LEVELS, np.float32)
@@ -134,24 +147,27 @@ def features(text: bytes) -> np.ndarray:
         codes = np.bincount(((c[:-3] * 10 + c[1:-2]) * 10 + c[2:-1]) * 10 + c[3:], minlength=10_000)
         np.add.at(out, PLACE, codes.astype(np.float32))
         out[:HASHED] = np.sqrt(out[:HASHED] / (len(c) - 3))
-    s = statistics(text)
+    s = statistics(text) if s is None else s
     for k, name in enumerate(("noise", "marks", "shout", "stutter", "variety", "lines")):
         if s:
             out[HASHED + k * LEVELS + min(int(s[name] * LEVELS), LEVELS - 1)] = 1
     return out
 
 
-def sample(docs: DataFrame, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Features and vote patterns of about rate of the texts, by a hash of each text."""
+def sample(docs: DataFrame, rate: float, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Features and vote patterns of about rate of the distinct texts, `most` at most, by a hash of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # as many as one task chooses; copies in other tasks go below
         for batch in slices(batches, "text"):
-            for t in texts(batch.column("text")):
-                if s := statistics(t):
-                    yield pa.RecordBatch.from_arrays([pa.array([features(t).astype(np.float16).tobytes()]), pa.array([pattern(s)], pa.int32())], ["features", "pattern"])
-
-    chosen = docs.select("text").filter(F.pmod(F.xxhash64(F.lit(23), "text"), F.lit(1 << 20)) < F.lit(round(rate * (1 << 20))))
-    rows = chosen.mapInArrow(run, "features binary, pattern int").toArrow()
+            for t, place in zip(texts(batch.column("text")), batch.column("place").to_pylist(), strict=True):
+                if place not in seen and (s := statistics(t)):
+                    seen.add(place)
+                    yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([features(t, s).astype(np.float16).tobytes()]), pa.array([pattern(s)], pa.int32())], ["place", "features", "pattern"])
+
+    chosen = docs.select("text", F.xxhash64(F.lit(23), "text").alias("place")).filter(F.pmod("place", F.lit(1 << 20)) < F.lit(round(rate * (1 << 20))))
+    found = chosen.mapInArrow(run, "place long, features binary, pattern int").dropDuplicates(["place"])
+    rows = found.orderBy("place").limit(most).toArrow()
     x = np.frombuffer(b"".join(rows.column("features").to_pylist()), np.float16).astype(np.float32).reshape(rows.num_rows, -1)
     return x, rows.column("pattern").to_numpy()
 
