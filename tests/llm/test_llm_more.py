@@ -4,9 +4,10 @@ import collections
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
-from txloom.llm import packing, quality, secret_scan, similar, simhash, url_filter
+from txloom.llm import audio, chunks, packing, quality, secret_scan, sharding, similar, simhash, url_filter
 from txloom.llm import queries as llm
 
 
@@ -204,3 +205,110 @@ def test_dedup_stage_by_brute_force(spark, sf_dir):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()))
     root = near_by_brute_force([t for _, t in rows])
     assert sorted(r.doc_id for r in pipeline.first_of_near_duplicates(spark, docs, sf_dir).collect()) == [rows[i][0] for i in sorted(set(root))]
+
+
+def plain_chunks(text):
+    """The rules byte by byte: a rolling gear hash; the first cut under the hard mask before the target, else under the easy one."""
+    h, at = 0, []
+    for b in text:
+        h = (h * 2 + int(chunks.GEAR[b])) % (1 << 32)
+        at.append(h)
+    out, start, n = collections.Counter(), 0, len(text)
+    while start < n:
+        end = n
+        if n - start > chunks.LEAST:
+            high = min(start + chunks.MOST, n)
+            hard = (e for e in range(start + chunks.LEAST, min(start + chunks.TARGET, high)) if not at[e - 1] & int(chunks.HARD))
+            easy = (e for e in range(start + chunks.TARGET, high) if not at[e - 1] & int(chunks.EASY))
+            end = next(hard, None) or next(easy, None) or high
+        out[xxhash.xxh3_64_hexdigest(text[start:end])] += end - start
+        start = end
+    return out
+
+
+def test_chunks_equal_the_plain_rules(spark):
+    r = random.Random(8)
+    texts = ["", "a", "x" * 1500, "é" * 700] + ["".join(r.choice("abcdefgh \n") for _ in range(r.randrange(5, 3000))) for _ in range(25)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(50, None)]
+    got = {q.doc_id: q for q in chunks.compared(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        changed = t[: len(t) - half] + following[:half]
+        own, edited, nxt = (plain_chunks(x.encode()) for x in (t, changed, following))
+        like = lambda a, b: sum((a & b).values()) / sum(a.values()) if a and b else float(not a and not b)
+        written = lambda c: ",".join(f"{d}:{w}" for d, w in sorted(c.items()))
+        assert (got[i].fingerprint, got[i].edited_fingerprint, got[i].n_chars) == (written(own), written(edited), len(t))
+        assert (got[i].near_edited, got[i].near_next) == (like(own, edited), like(own, nxt))
+
+
+def test_tree_equals_sorting(spark):
+    """The histogram rounds against plain sorting: at each node the points left of the weighted quantile of the widest dimension."""
+    r = np.random.default_rng(12)
+    rows = [(int(i), int(i) + 7, 0, int(r.integers(1, 400)), int(r.integers(0, 1 << 24)), int(r.integers(0, 1 << 24) if i % 3 else 5), int(r.integers(0, 1 << 18))) for i in range(600)]
+    pts = spark.createDataFrame(rows, "k1 long, k2 long, part int, bytes long, hash long, d0 long, d1 long")
+    got = {q.k1: q.shard for q in sharding.tree(pts, [1000.0, 1100.0, 900.0, 1000.0, 1000.0, 1000.0, 950.0, 1050.0]).collect()}
+    room, want = [1000.0, 1100.0, 900.0, 1000.0, 1000.0, 1000.0, 950.0, 1050.0], {}
+
+    def split(points, a, b):
+        if b - a == 1:
+            want.update({p[0]: a for p in points})
+            return
+        spread = [max(p[5 + i] for p in points) - min(p[5 + i] for p in points) for i in range(2)]
+        dim, middle = max(range(2), key=lambda i: (spread[i], -i)), (a + b) // 2
+        points = sorted(points, key=lambda p: (p[5 + dim], p[4]))
+        aim, now, k = sum(p[3] for p in points) * sum(room[a:middle]) / sum(room[a:b]), 0, 0
+        while k < len(points) and now + points[k][3] < aim:
+            now += points[k][3]
+            k += 1
+        if k < len(points) and now + points[k][3] - aim <= aim - now or k == len(points):
+            k += 1
+        split(points[:k], a, middle)
+        split(points[k:], middle, b)
+
+    split(rows, 0, 8)
+    assert got == want
+
+
+def test_windows_equal_a_plain_transform(spark):
+    """Resampling as one convolution, frames one by one, the discrete transform as a matrix."""
+    texts = ["", "short", "a longer text about sound. " * 40, "".join(chr(33 + i * i % 90) for i in range(30_000))]
+    got = collections.defaultdict(list)
+    for q in audio.windows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "window").collect():
+        got[q.doc_id].append(q)
+    h, turns = audio.kernel(1, 2).astype(float), np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME), np.arange(audio.FRAME // 2 + 1)) / audio.FRAME)
+    for i, t in enumerate(texts):
+        data = audio.payload(t.encode())
+        x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+        y = np.convolve(x, h)[len(h) // 2 :: 2][: -(-len(x) // 2)]
+        n = 1 + max(0, -(-(len(y) - audio.FRAME) // audio.HOP))
+        y = np.concatenate((y, np.zeros((n - 1) * audio.HOP + audio.FRAME - len(y))))
+        want = np.array([np.maximum(np.log(np.abs(y[k * audio.HOP : k * audio.HOP + audio.FRAME] * np.hanning(audio.FRAME) @ turns) ** 2 @ audio.BANK + 1e-12), audio.FLOOR) for k in range(n)])
+        values = np.concatenate([np.array(q.log_mel).reshape(audio.FRAMES, audio.MELS) for q in got[i]])
+        assert len(got[i]) == -(-n // audio.FRAMES) and np.allclose(values[:n], want, atol=2e-2) and (values[n:] == audio.FLOOR).all()
+        assert [q.start_s for q in got[i]] == [k * audio.FRAMES * audio.HOP / audio.TARGET for k in range(len(got[i]))]
+        assert got[i][-1].end_s == ((n - 1) * audio.HOP + audio.FRAME) / audio.TARGET
+
+
+def test_op10_keeps_tensors_and_spans(spark, sf_dir):
+    docs = llm.documents(spark, sf_dir)
+    rows = audio.featured(docs).collect()
+    assert len(rows) == docs.count() and all(len(w.log_mel) == audio.FRAMES * audio.MELS and w.start_s < w.end_s for r in rows for w in r.windows)
+    feature = {r.doc_id: r.feature for r in llm.QUERIES["op10_audio_features"](spark, sf_dir).collect()}
+    by_text = collections.defaultdict(set)
+    for r in docs.collect():
+        by_text[r.text].add(feature[r.doc_id])
+    assert all(len(f) == 1 for f in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
+
+
+def test_sound_in_blocks_is_the_whole(monkeypatch):
+    data = bytes(np.random.default_rng(1).integers(0, 256, 40_000, np.uint8))
+    whole = audio.analysed(audio.stored(data))
+    monkeypatch.setattr(audio, "AT_A_TIME", 7)
+    part = audio.analysed(audio.stored(data))
+    assert part[0] == whole[0] and np.allclose(part[1], whole[1], atol=1e-4) and part[2] == whole[2]
+    rate = 11_025
+    x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
+    full = audio.resampled(x, rate, audio.TARGET)
+    assert np.allclose(audio.sound(data, rate, 5000, 9000), full[5000:9000], atol=1e-5)

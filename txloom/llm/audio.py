@@ -6,11 +6,12 @@ filterbank energies. Frames form windows of a fixed shape (FRAMES x MELS, the la
 its time span. Segments of sound come from frame energies with hysteresis: a segment begins above the upper level and
 goes on until the energy falls below the lower one.
 
-Spark's arrays carry a window's values in row order with the shape in the schema's comment; tensors() gives the
-column as Arrow's fixed-shape tensors.
+featured() has all of it for each row; Spark's arrays carry a window's values by frame. tensors() gives the column of
+windows() as Arrow's fixed-shape tensors. digests() derives short columns from featured().
 
-A null or empty text is a payload of 64 zero bytes. Texts of any length are handled in blocks, so memory is bounded.
-Repeated rows stay repeated, and equal texts give equal values, as each text is computed by itself.
+A null or empty text is a payload of 64 zero bytes. Sound is resampled and framed AT_A_TIME frames at a time, so next to a
+row's own payload, stored form and features (about 4 bytes a byte of text) memory is bounded. Repeated rows stay repeated,
+and equal texts give equal values, as each text is computed by itself. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ TAPS, FRAME, HOP, MELS, FRAMES = 16, 256, 128, 20, 32
 FLOOR = -12.0
 #: Levels over the text's least frame energy, in natural log, at which a segment ends and begins.
 LOWER, UPPER = 0.6, 1.2
-#: Outputs that are computed at a time.
-BLOCK = 1 << 15
+#: Outputs that are computed at a time, and frames.
+BLOCK, AT_A_TIME = 1 << 15, 2048
 
 
 def payload(text: bytes) -> bytes:
@@ -133,57 +134,103 @@ def segments(energy: np.ndarray) -> list[tuple[float, float]]:
     return out
 
 
+def sound(data: bytes, rate: int, start: int, stop: int) -> np.ndarray:
+    """Samples start to stop of the resampled payload, from the bytes around them; zeros beyond its end."""
+    g = gcd(rate, TARGET)
+    up, down = TARGET // g, rate // g
+    margin = (TAPS + 2) * max(up, down)
+    first = max(0, start // up * down - margin * down)  # a multiple of down, so outputs keep their phases
+    last = min(len(data), -(-stop // up) * down + margin * down)
+    x = (np.frombuffer(data, np.uint8, last - first, first).astype(np.float32) - 128) / 128
+    lead = first // down * up
+    y = resampled(x, rate, TARGET)[start - lead : min(stop, -(-len(data) * up // down)) - lead]
+    return np.concatenate((y, np.zeros(stop - start - len(y), np.float32)))
+
+
 def analysed(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[float, float]]]:
     """What was read back, its log-mel energies, its segments."""
     data, rate = read(media)
-    x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = log_mel(resampled(x, rate, TARGET))
+    n = -(-len(data) * TARGET // rate)
+    frames = 1 + max(0, -(-(n - FRAME) // HOP))
+    mel, energy = np.empty((frames, MELS), np.float32), np.empty(frames, np.float32)
+    for a in range(0, frames, AT_A_TIME):
+        b = min(frames, a + AT_A_TIME)
+        mel[a:b], energy[a:b] = log_mel(sound(data, rate, a * HOP, (b - 1) * HOP + FRAME))
     return data, mel, segments(energy)
 
 
-def feature(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
+def windowed(mel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends in seconds, and values (windows x FRAMES x MELS; the last window is filled up with the floor)."""
+    n = -(-len(mel) // FRAMES)
+    full = np.full((n * FRAMES, MELS), FLOOR, np.float32)
+    full[: len(mel)] = mel
+    start = np.arange(n) * FRAMES * HOP / TARGET
+    end = ((np.minimum(np.arange(1, n + 1) * FRAMES, len(mel)) - 1) * HOP + FRAME) / TARGET
+    return start, end, full.reshape(n, FRAMES, MELS)
+
+
+def summary(mel: np.ndarray, spans: list[tuple[float, float]]) -> str:
     """frames:segments:seconds of sound:mean and deviation of each mel band, as bytes in hex."""
     levels = np.concatenate((mel.mean(0), mel.std(0))) * 8
     quantised = np.clip(np.round(levels), -128, 127).astype(np.int8).tobytes().hex()
     return f"{len(mel)}:{len(spans)}:{sum(b - a for a, b in spans):.3f}:{quantised}"
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, for each row."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+SPAN = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
+TENSOR = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", pa.list_(pa.float32()))])
+KINDS = {
+    "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(),
+    "media_sha256": pa.string(), "summary": pa.string(), "segments": pa.list_(SPAN),
+}
+FEATURED = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, summary string, "
+    "segments array<struct<start_s:double,end_s:double>>, windows array<struct<start_s:double,end_s:double,log_mel:array<float>>>"
+)
+
+
+def structs(starts: np.ndarray, ends: np.ndarray, tensors: np.ndarray, counts: list[int]) -> pa.Array:
+    """The windows of several rows: lists of (start, end, values)."""
+    n = len(starts)
+    values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * FRAMES * MELS, pa.int32()), pa.array(tensors.ravel()))
+    each = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends), values], fields=list(TENSOR))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), each)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """For each row: its payload and stored form by length and digest, its segments, its windows (time span and log-mel tensor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out: list[list] = [[] for _ in kinds]
+            out: list[list] = [[] for _ in KINDS]
+            windows: list[tuple] = []
             for text in texts(batch.column("text")):
                 media = stored(payload(text))
                 data, mel, spans = analysed(media)
-                row = (len(text), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(mel, spans))
+                row = (len(text), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary(mel, spans), [{"start_s": a, "end_s": b} for a, b in spans])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names)
+                windows.append(windowed(mel))
+            if windows:
+                listed = structs(*(np.concatenate(x) for x in zip(*windows, strict=True)), [len(w[0]) for w in windows])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, KINDS.values(), strict=True)), listed], ["doc_id", *KINDS, "windows"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURED)
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, for each row.
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    feature: the summary, the number of windows, and a hash of all windows' and segments' time spans and values.
+    """
+    of_all = F.lpad(F.lower(F.hex(F.xxhash64("windows", "segments"))), 16, "0")
+    feature = F.concat_ws(":", "summary", F.size("windows").cast("string"), of_all)
+    return featured(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def windows(docs: DataFrame) -> DataFrame:
     """doc_id, window, start_s, end_s, log_mel (FRAMES * MELS values by frame), for each window of each row's sound."""
-    names = ["doc_id", "window", "start_s", "end_s", "log_mel"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-                _, mel, _ = analysed(stored(payload(text)))
-                n = -(-len(mel) // FRAMES)
-                full = np.full((n * FRAMES, MELS), FLOOR, np.float32)
-                full[: len(mel)] = mel
-                start = np.arange(n) * FRAMES * HOP / TARGET
-                end = (np.minimum(np.arange(1, n + 1) * FRAMES, len(mel)) - 1) * HOP / TARGET + FRAME / TARGET
-                values = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), FRAMES * MELS).cast(pa.list_(pa.float32()))
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array(np.arange(n), pa.int32()), pa.array(start), pa.array(end), values], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, window int, start_s double, end_s double, log_mel array<float>")
+    each = featured(docs).select("doc_id", F.posexplode("windows").alias("window", "w"))
+    return each.select("doc_id", "window", "w.start_s", "w.end_s", "w.log_mel")
 
 
 def tensors(table: pa.Table) -> pa.Table:
