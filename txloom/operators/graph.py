@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
+from ..functions.ranks import global_rank, of_draw, of_key
 
 
 def entity_codes(df: DataFrame, key: str, out: str = "code") -> DataFrame:
     """Codes 0.. by first appearance: key, code."""
-    return df.groupBy(key).agg(F.min("tx_id").alias("_f")).select(key, (F.row_number().over(Window.orderBy("_f")) - 1).alias(out))
+    first = df.groupBy(key).agg(F.min("tx_id").alias("_f"))
+    return global_rank(first, of_key("_f"), ["_f"], "_r").select(key, (F.col("_r") - 1).alias(out))
 
 
 def edges(df: DataFrame) -> DataFrame:
@@ -60,8 +62,8 @@ def padded_nodes(df: DataFrame) -> DataFrame:
 
 
 def _draw_normals(df: DataFrame, k: Column, draw: Column) -> DataFrame:
-    """All positives and the k normals with the least draw. A range of draws is cut before ranking, so the ranked rows are few."""
-    ranked = df.filter("label = 0").withColumn("_u", draw).withColumn("_r", F.row_number().over(Window.orderBy("_u", "tx_id")))
+    """All positives and the k normals with the least draw in [0, 1)."""
+    ranked = global_rank(df.filter("label = 0").withColumn("_u", draw), of_draw(F.col("_u")), ["_u", "tx_id"], "_r")
     n = F.broadcast(df.agg(F.count("*").alias("_n"), F.sum("label").alias("_p")))
     return df.filter("label = 1").unionByName(ranked.crossJoin(n).filter(F.col("_r") <= k).select(*df.columns))
 
@@ -93,8 +95,7 @@ def statistics(df: DataFrame) -> DataFrame:
 def coordinates(df: DataFrame) -> DataFrame:
     """row, col of the adjacency matrix from 1: transactions first, then users, then merchants, each side in order of its key."""
     n = F.broadcast(df.agg(F.count("*").alias("_n"), F.countDistinct("user_key").alias("_u")))
-    u = df.select("user_key").distinct().select("user_key", F.row_number().over(Window.orderBy("user_key")).alias("_cu"))
-    m = df.select("merchant_key").distinct().select("merchant_key", F.row_number().over(Window.orderBy("merchant_key")).alias("_cm"))
+    u, m = (global_rank(df.select(k).distinct(), of_key(k), [k], c) for k, c in (("user_key", "_cu"), ("merchant_key", "_cm")))
     rows = df.select("tx_id", "user_key", "merchant_key").join(u, "user_key").join(m, "merchant_key").crossJoin(n)
     t, cu, cm = F.col("tx_id") + 1, F.col("_n") + F.col("_cu"), F.col("_n") + F.col("_u") + F.col("_cm")
     each = F.array(*(F.struct(a.alias("row"), b.alias("col")) for a, b in ((t, cu), (cu, t), (t, cm), (cm, t))))
@@ -126,20 +127,19 @@ def attribute_homophily(df: DataFrame, features: list[str], key: str) -> DataFra
 def pagerank(df: DataFrame, beta: float = 0.15, steps: int = 3) -> DataFrame:
     """side, entity, rank: power iteration on users and merchants with uniform teleport, min-max scaled on each side.
 
-    Parallel edges are one weighted edge, so a step joins and sums pairs, not transactions; lineage is cut every five steps.
+    Parallel edges are one weighted edge, so a step is one join and one sum of pairs, not transactions; lineage is cut every three steps.
     """
     pairs = df.groupBy("user_key", "merchant_key").agg(F.count("*").alias("w"))
     arcs = pairs.select(F.struct(F.lit("u").alias("s"), F.col("user_key").cast("long").alias("e")).alias("a"), F.struct(F.lit("m").alias("s"), F.col("merchant_key").cast("long").alias("e")).alias("b"), "w")
-    arcs = cut(arcs.union(arcs.select("b", "a", "w")))  # every step reads them; without the cut each would join the tables anew
+    arcs = cut(arcs.union(arcs.select("b", "a", "w")))
     out = arcs.groupBy("a").agg(F.sum("w").alias("d"))
-    n = F.broadcast(out.agg(F.count("*").alias("_n")))
-    nodes = out.crossJoin(n)
-    flow = arcs.join(nodes, "a").select("a", "b", (F.col("w") / F.col("d")).alias("p"))
+    nodes = cut(out.crossJoin(F.broadcast(out.agg(F.count("*").alias("_n")))))
+    flow = cut(arcs.join(nodes, "a").select("a", "b", (F.col("w") / F.col("d")).alias("p")))  # what every step reads
     rank = nodes.select("a", "_n", (F.lit(1.0) / F.col("_n")).alias("r"))
     for k in range(steps):
         inflow = flow.join(rank.select("a", "r"), "a").groupBy("b").agg(F.sum(F.col("p") * F.col("r")).alias("in"))
         rank = nodes.join(inflow.withColumnRenamed("b", "a"), "a", "left").select("a", "_n", (F.lit(beta) / F.col("_n") + (1 - beta) * F.coalesce("in", F.lit(0.0))).alias("r"))
-        if k % 5 == 4:
+        if k % 3 == 2 and k < steps - 1:
             rank = cut(rank)
     ends = rank.groupBy(F.col("a.s").alias("side")).agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
     scaled = (F.col("r") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)

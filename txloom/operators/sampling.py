@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import global_rank, of_draw, of_key
 from ..sources.fixtures import uniform
 
 
@@ -89,7 +90,8 @@ def weight_audit(weights: DataFrame, by: str, weight: str) -> DataFrame:
 def balanced_roots(df: DataFrame, ratio: int, epoch: int, seed: int) -> DataFrame:
     """All positives and ratio times as many normals, drawn anew in each epoch."""
     n = F.broadcast(df.agg((F.sum("label") * ratio).alias("_k")))
-    drawn = df.filter("label = 0").withColumn("_u", uniform(seed, F.lit(epoch), "tx_id")).withColumn("_r", F.row_number().over(Window.orderBy("_u", "tx_id")))
+    drawn = df.filter("label = 0").withColumn("_u", uniform(seed, F.lit(epoch), "tx_id"))
+    drawn = global_rank(drawn, of_draw(F.col("_u")), ["_u", "tx_id"], "_r")
     return df.filter("label = 1").unionByName(drawn.crossJoin(n).filter("_r <= _k").select(*df.columns))
 
 
@@ -99,9 +101,9 @@ def stratified_roots(df: DataFrame, strata: list[str], normals: int, seed: int)
     total = F.broadcast(df.agg(F.sum("label").alias("_t")))
     quota = share.crossJoin(total).withColumn("_q", F.floor(F.col("_p") * normals / F.col("_t"))).select(*strata, "_q")
     drawn = df.filter("label = 0").withColumn("_u", uniform(seed, "tx_id")).join(quota, strata, "left").fillna(0, ["_q"])
-    drawn = drawn.withColumn("_r", F.row_number().over(Window.partitionBy(*strata).orderBy("_u", "tx_id")))
-    order = Window.orderBy((F.col("_r") > F.col("_q")).cast("int"), "_u", "tx_id")
-    return df.filter("label = 1").unionByName(drawn.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= normals).select(*df.columns))
+    drawn = global_rank(drawn, of_draw(F.col("_u")), ["_u", "tx_id"], "_r", strata).withColumn("_over", (F.col("_r") > F.col("_q")).cast("int"))
+    # at most `normals` rows leave, so this is a distributed top-k, not a rank of all
+    return df.filter("label = 1").unionByName(drawn.orderBy("_over", "_u", "tx_id").limit(normals).select(*df.columns))
 
 
 def cohort(df: DataFrame, n: int, fraud_cap: int, seed: int) -> DataFrame:
@@ -133,9 +135,9 @@ def picked_groups(sizes: DataFrame, order: list[str], k: int) -> DataFrame:
 
 
 def batches(df: DataFrame, size: int, order: str) -> DataFrame:
-    """batch 0.. of `size` rows in order; a last batch of one row joins the one before."""
+    """batch 0.. of `size` rows in order of a whole number; a last batch of one row joins the one before."""
     n = F.broadcast(df.agg(F.count("*").alias("_n")))
-    r = df.withColumn("_r", F.row_number().over(Window.orderBy(order)) - 1).crossJoin(n)
+    r = global_rank(df, of_key(order), [order], "_r").withColumn("_r", F.col("_r") - 1).crossJoin(n)
     raw = F.floor(F.col("_r") / size)
     alone = (F.col("_n") % size == 1) & (F.col("_n") > 1) & (F.col("_r") == F.col("_n") - 1)
     return r.withColumn("batch", F.when(alone, raw - 1).otherwise(raw)).drop("_r", "_n")
@@ -143,6 +145,7 @@ def batches(df: DataFrame, size: int, order: str) -> DataFrame:
 
 def permuted_block(df: DataFrame, columns: list[str], seed: int, key: str = "tx_id") -> DataFrame:
     """The block of columns re-paired with other rows by a hash order; the other columns stay."""
-    a = df.drop(*columns).withColumn("_r", F.row_number().over(Window.orderBy(key)))
-    b = df.select(*columns, uniform(seed, key).alias("_u"), F.col(key).alias("_k")).withColumn("_r", F.row_number().over(Window.orderBy("_u", "_k"))).drop("_u", "_k")
+    a = global_rank(df.drop(*columns), of_key(key), [key], "_r")
+    b = df.select(*columns, uniform(seed, key).alias("_u"), F.col(key).alias("_k"))
+    b = global_rank(b, of_draw(F.col("_u")), ["_u", "_k"], "_r").drop("_u", "_k")
     return a.join(b, "_r").drop("_r")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import global_rank, of_key
+
 
 def _one(df: DataFrame, *aggs: Column) -> DataFrame:
     """A single row of statistics, joined to all rows as a broadcast."""
@@ -106,14 +108,14 @@ def parity_blocks(df: DataFrame, share: float = 0.25, block: int = 604_800) -> D
 def selection_tail(df: DataFrame, share: float, min_fraud: int) -> DataFrame:
     """The last share of rows, moved back as far as needed to hold min_fraud positives (all, if there are fewer)."""
     n = df.agg(F.count("*").alias("_n"))
-    recent = df.filter("label = 1").withColumn("_k", F.row_number().over(Window.orderBy(F.col("tx_id").desc()))).filter(F.col("_k") <= min_fraud).agg(F.min("tx_id").alias("_p"))
+    recent = df.filter("label = 1").select("tx_id").orderBy(F.col("tx_id").desc()).limit(min_fraud).agg(F.min("tx_id").alias("_p"))
     return df.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(recent)).filter(F.col("tx_id") >= F.least(F.floor(F.col("_n") * (1 - share)), F.col("_p"))).drop("_n", "_p")
 
 
 def source_order_split(df: DataFrame, order: str, share: float = 0.8) -> DataFrame:
-    """role train or val by source order; the boundary is rounded half to even."""
+    """role train or val by source order (a whole number); the boundary is rounded half to even."""
     n = _one(df, F.count("*").alias("_n"))
-    ranked = df.crossJoin(n).withColumn("_k", F.row_number().over(Window.orderBy(order)))
+    ranked = global_rank(df, of_key(order), [order], "_k").crossJoin(n)
     return ranked.withColumn("role", F.when(F.col("_k") <= F.bround(F.col("_n") * share), "train").otherwise("val")).drop("_n", "_k")
 
 
@@ -148,7 +150,7 @@ def window_sweep(df: DataFrame, windows: DataFrame) -> DataFrame:
 def smoke_subset(df: DataFrame, share: float, negatives: int, draw: Column) -> DataFrame:
     """The first share of the positives in time and a hash-drawn number of negatives, in order of time."""
     n = df.filter("label = 1").agg(F.count("*").alias("_n"))
-    pos = df.filter("label = 1").withColumn("_k", F.row_number().over(Window.orderBy("tx_id"))).crossJoin(F.broadcast(n)).filter(F.col("_k") <= F.floor(F.col("_n") * share)).drop("_k", "_n")
+    pos = global_rank(df.filter("label = 1"), of_key("tx_id"), ["tx_id"], "_k").crossJoin(F.broadcast(n)).filter(F.col("_k") <= F.floor(F.col("_n") * share)).drop("_k", "_n")
     neg = df.filter("label = 0").withColumn("_u", draw).orderBy("_u", "tx_id").limit(negatives).drop("_u")
     return pos.unionByName(neg)
 
