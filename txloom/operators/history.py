@@ -167,8 +167,28 @@ def rank_quartiles(df: DataFrame, value: str, order: list[str], by: list[str] |
 
 
 def ema(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.02) -> DataFrame:
-    """Exponential moving average in order: keys, order, ema. The recursion is a fold over each group's ordered values."""
-    step = lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) * (1 - alpha) + x * alpha)))
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))).alias("rows"))
-    folded = rows.select(*keys, "rows", F.aggregate(F.transform("rows", lambda r: r["v"]), F.array().cast("array<double>"), step).alias("e"))
-    return folded.select(*keys, F.explode(F.arrays_zip(F.col("rows"), F.col("e"))).alias("z")).select(*keys, F.col(f"z.rows.{order}").alias(order), F.col("z.e").alias("ema"))
+    """Exponential moving average in order: keys, order, ema. It starts at the first value; from a null on it is null.
+
+    A value's weight falls by 1 - alpha a row, so inside a block of rows in which weights stay above 1e-6 the average is a
+    prefix sum of values over their weights. What a block hands on is worth 1e-6 of itself a block later, so a row needs the
+    ends of the last 54 blocks, whose weights reach down to the least double: no list of a group, and no fold over it.
+    """
+    import math
+
+    left = 1 - alpha
+    length = max(1, int(math.log(1e-6) / math.log(left))) if 0 < left < 1 else 1 << 40 if left == 1 else 1
+    whole = Window.partitionBy(*keys).orderBy(order)
+    rows = df.select(*keys, order, F.col(value).cast("double").alias("_x"), (F.row_number().over(whole) - 1).alias("_t"))
+    rows = rows.select("*", F.floor(F.col("_t") / length).alias("_b"), (F.col("_t") % length).cast("double").alias("_i"))
+    rows = rows.withColumn("_null", F.max(F.col("_x").isNull()).over(whole))
+    share = F.when(F.col("_t") == 0, 1.0).otherwise(alpha)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_own", F.sum(F.col("_x") * share * F.pow(F.lit(left), -F.col("_i"))).over(inside) * F.pow(F.lit(left), F.col("_i")))
+    ends = rows.filter(F.col("_i") == length - 1).select(*keys, "_b", "_own")
+    back = Window.partitionBy(*keys).orderBy("_b").rowsBetween(-53, 0)
+    fold = F.aggregate(F.collect_list("_own").over(back), F.lit(0.0), lambda acc, x: acc * left**length + x)
+    handed = ends.select(*(F.col(k).alias(f"_k_{k}") for k in keys), (F.col("_b") + 1).alias("_to"), fold.alias("_handed"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys), F.col("_b") == F.col("_to"))
+    both = rows.join(handed, same, "left")
+    at = F.col("_own") + F.coalesce(F.col("_handed"), F.lit(0.0)) * F.pow(F.lit(left), F.col("_i") + 1)
+    return both.select(*keys, order, F.when(~F.col("_null"), at).alias("ema"))
