@@ -104,7 +104,7 @@ def _(spark, d):
     return found.groupBy(F.regexp_extract("path", r"channel=(\w+)", 1).alias("channel")).agg(F.count("*").alias("files"))
 
 
-@query("src11_flat_json", f"WITH {TX}, g AS (SELECT channel, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS p FROM tx GROUP BY ALL) SELECT channel, 'metrics.rows' AS metric, n AS value FROM g UNION ALL SELECT channel, 'metrics.parts.0', p FROM g UNION ALL SELECT channel, 'metrics.parts.1', n FROM g")
+@query("src11_flat_json", f"WITH {TX}, g AS (SELECT channel, count(*)::DOUBLE AS n, sum(label)::DOUBLE AS p FROM tx GROUP BY ALL) SELECT channel, 'metrics.rows' AS metric, n AS value FROM g UNION ALL SELECT channel, 'metrics.parts[0]', p FROM g UNION ALL SELECT channel, 'metrics.parts[1]', n FROM g")
 def _(spark, d):
     found = R.artifacts(spark, _runs(spark, d), "*.txt").withColumn("channel", F.regexp_extract("path", r"channel=(\w+)", 1))
     return R.flat_numbers(found, "text", ["channel"])
@@ -131,11 +131,40 @@ def _(spark, d):
     return spark.read.schema("tx_id long, label int, score double").option("header", True).csv(path).select("tx_id", "label")
 
 
+@query("snk4_whole_json", f"WITH {TX} SELECT channel, count(*) AS rows FROM tx GROUP BY ALL")
+def _(spark, d):
+    path = place(spark, "json")
+    for extra in ([{"channel": "old", "rows": 0}], []):  # the second write replaces the first
+        counts = transactions(spark, d).groupBy("channel").agg(F.count("*").alias("rows")).collect()
+        K.write_json(f"{path}/metrics.json", [*extra, *(r.asDict() for r in counts)], spark=spark)
+    return spark.read.schema("channel string, rows long").option("multiLine", True).json(f"{path}/metrics.json")
+
+
 @query("snk5_content_store", f"WITH {TX} SELECT user_key, count(*) AS rows FROM tx GROUP BY ALL")
 def _(spark, d):
     return K.content_store(spark, place(spark, "store"), {"what": "user rows"}, lambda: transactions(spark, d).groupBy("user_key").agg(F.count("*").alias("rows")))
 
 
+@query("snk6_run_states", "SELECT * FROM (VALUES ('new', 0, 0), ('failed', 1, 0), ('running', 2, 1), ('complete', 2, 0)) t(status, attempts, locked)")
+def _(spark, d):
+    run = K.Run(place(spark, "run"), spark)
+    seen = []
+
+    def note():  # noqa: ANN202
+        seen.append((run.status()["status"], run.status()["attempts"], int(run.files.exists(f"{run.path}/lock"))))
+
+    note()
+    try:
+        with run:
+            raise RuntimeError("broken")
+    except RuntimeError:
+        note()
+    with run:
+        note()
+    note()
+    return spark.createDataFrame(seen, "status string, attempts int, locked int")
+
+
 @query("snk7_row_digest", "SELECT o_custkey, sha256(string_agg(o_orderkey::VARCHAR, '|' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY ALL")
 def _(spark, d):
     from ..sources.fixtures import table

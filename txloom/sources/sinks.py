@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
-import os
-import time
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.files import LocalFiles, SparkFiles, write_whole
+
 
 def sorted_parquet(df: DataFrame, path: str, order: list[str], partitions: int | None = None) -> None:
     """Ranges of the order, sorted within, zstd: scans then prune row groups by their statistics."""
@@ -59,43 +60,49 @@ def content_store(spark: SparkSession, home: str, identity: dict, build: Callabl
     return spark.read.parquet(f"{path}/data")
 
 
-def write_json(path: str | Path, value: object, tries: int = 5) -> None:
-    """Atomic on the driver's disk: written aside, then renamed, again if another process holds the file."""
-    path = Path(path)
-    path.parent.mkdir(parents=True, exist_ok=True)
-    aside = path.with_suffix(f".{os.getpid()}.tmp")
-    aside.write_text(json.dumps(value, indent=1, sort_keys=True, allow_nan=False))
-    for k in range(tries):
-        try:
-            aside.replace(path)
-            return
-        except PermissionError:
-            if k == tries - 1:
-                raise
-            time.sleep(0.1 * 2**k)
+def json_bytes(value: object) -> bytes:
+    return json.dumps(value, indent=1, sort_keys=True, allow_nan=False).encode()
+
+
+def array_bytes(**arrays: object) -> bytes:
+    """Named arrays as a compressed NumPy archive."""
+    import numpy as np
+
+    with io.BytesIO() as f:
+        np.savez_compressed(f, **arrays)
+        return f.getvalue()
+
+
+def write_json(path: str | Path, value: object, tries: int = 5, spark: SparkSession | None = None) -> None:
+    """A JSON file, whole or not there; on any file system with a session, on the local disk without."""
+    write_whole(SparkFiles(spark) if spark else LocalFiles(), str(path), json_bytes(value), tries)
 
 
 class Run:
-    """A run folder: running, then complete, interrupted or failed; a lock keeps a second process out; attempts are counted."""
+    """A run folder: running, then complete, interrupted or failed; a lock keeps a second process out; attempts are counted.
+
+    With a session the folder may be on any file system that Spark reads.
+    """
 
-    def __init__(self, path: str | Path) -> None:
-        self.path = Path(path)
+    def __init__(self, path: str | Path, spark: SparkSession | None = None) -> None:
+        self.path, self.files = str(path), SparkFiles(spark) if spark else LocalFiles()
 
     def status(self) -> dict:
-        file = self.path / "status.json"
-        return json.loads(file.read_text()) if file.exists() else {"status": "new", "attempts": 0}
+        file = f"{self.path}/status.json"
+        return json.loads(self.files.read(file)) if self.files.exists(file) else {"status": "new", "attempts": 0}
+
+    def _write(self, status: dict) -> None:
+        write_whole(self.files, f"{self.path}/status.json", json_bytes(status))
 
     def __enter__(self) -> Run:
-        self.path.mkdir(parents=True, exist_ok=True)
         before = self.status()
         if before["status"] == "complete":
             raise ValueError(f"{self.path} is complete")
-        self._lock = os.open(self.path / "lock", os.O_CREAT | os.O_EXCL)
-        write_json(self.path / "status.json", {"status": "running", "attempts": before["attempts"] + 1})
+        self.files.create(f"{self.path}/lock", b"")
+        self._write({"status": "running", "attempts": before["attempts"] + 1})
         return self
 
     def __exit__(self, kind: type | None, error: BaseException | None, _: object) -> None:
         status = "complete" if kind is None else "interrupted" if kind is KeyboardInterrupt else "failed"
-        write_json(self.path / "status.json", self.status() | {"status": status} | ({"error": str(error)} if error else {}))
-        os.close(self._lock)
-        (self.path / "lock").unlink()
+        self._write(self.status() | {"status": status} | ({"error": str(error)} if error else {}))
+        self.files.remove(f"{self.path}/lock")

@@ -1,18 +1,18 @@
 """Daily causal replay: a day is scored with the history before it and then joins the history.
 
-Batch and stream agree: replay() runs the days of a table through Structured Streaming, one micro-batch a file, and
+Batch and stream agree: replay() runs the days of a table through Structured Streaming in the calendar's order, and
 batch_twin() gives the same rows by windows. State holds counts and sums only, never rows.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.checkpoints import cut
+from ..functions.files import SparkFiles
 from ..operators.history import daily_history
 
 
@@ -41,45 +41,74 @@ def batch_twin(df: DataFrame, key: str) -> DataFrame:
     return daily_history(df, key, "h").select("tx_id", "day", F.col("h_degree").alias("degree"), F.col("h_mean").alias("mean"))
 
 
-def replay(spark: SparkSession, df: DataFrame, key: str, home: str) -> DataFrame:
-    """batch_twin() by a stream over one file a day: score against the state, write, then add the day to the state."""
-    src, out = f"{home}/days-{uuid.uuid4().hex}", f"{home}/scored-{uuid.uuid4().hex}"
-    days = df.select("tx_id", "ts", key, "amount", F.to_date("ts").alias("day"))
-    days.repartition("day").sortWithinPartitions("day").write.partitionBy("day").parquet(src)
-    state: dict[str, DataFrame] = {}
-
-    def step(batch: DataFrame, _: int) -> None:
-        for day in [r["day"] for r in batch.select("day").distinct().orderBy("day").collect()]:  # the days of a micro-batch
-            today = batch.filter(F.col("day") == F.lit(day))
-            known = state.get("s")
-            if known is None:
-                scored = today.select("tx_id", "day", F.lit(0).cast("long").alias("degree"), F.lit(0.0).alias("mean"))
-            else:
-                j = today.join(known, key, "left")
-                scored = j.select("tx_id", "day", F.coalesce("n", F.lit(0)).alias("degree"), F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)).alias("mean"))
-            scored.write.mode("append").parquet(out)
-            fresh = today.groupBy(key).agg(F.count("*").alias("n"), F.sum("amount").alias("s"))
-            both = fresh if known is None else known.unionByName(fresh).groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-            state["s"] = cut(both)
-
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 64).parquet(src)
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{home}/offsets-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def scored_days(today: DataFrame, known: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of several days with the history before each row's day, the history with these days).
+
+    known: key, n, s of the days before; a row's own day never counts.
+    """
+    by_day = today.groupBy(key, "day").agg(F.count("*").alias("n"), F.sum("amount").alias("s"))
+    frame = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    n, s = (F.coalesce(F.sum(c).over(frame), F.lit(0)) for c in "ns")
+    before = by_day.select(key, "day", n.alias("n"), s.alias("s"))
+    if known is not None:
+        old = known.select(F.col(key).alias("_key"), F.col("n").alias("_n"), F.col("s").alias("_s"))
+        joined = before.join(old, before[key].eqNullSafe(F.col("_key")), "left")
+        before = joined.select(key, "day", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), (F.col("s") + F.coalesce("_s", F.lit(0.0))).alias("s"))
+    before = before.select(F.col(key).alias("_key"), F.col("day").alias("_day"), "n", "s")
+    rows = today.join(before, today[key].eqNullSafe(F.col("_key")) & (today["day"] == F.col("_day")))
+    scored = rows.select("tx_id", "day", F.col("n").alias("degree"), F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0).alias("mean"))
+    fresh = by_day.select(key, "n", "s")
+    both = fresh if known is None else known.unionByName(fresh)
+    return scored, both.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def replay(spark: SparkSession, df: DataFrame, key: str, home: str, run: str | None = None, days_in_batch: int = 64, after: Callable[[int], None] | None = None) -> DataFrame:
+    """batch_twin() by a stream: a micro-batch scores some days against the history before them, then adds them to it.
+
+    The order of days is the calendar's and not the source's: micro-batch k takes the k-th run of days from a list that is
+    fixed when the replay begins, and the stream's source only says when (one small file a micro-batch). So it doesn't
+    matter how the rows are dealt to files and tasks, and a day may have any number of files.
+
+    The history is a table for each micro-batch, as are the scored rows, and both are overwritten if a micro-batch comes
+    again, so a replay that was ended goes on where it stopped when it is called with the same run, and no row is written twice.
+    A micro-batch whose days are not newer than the history is an error. after(k) is called when micro-batch k is written.
+    """
+    base = f"{home}/replay-{run or uuid.uuid4().hex}"
+    store = SparkFiles(spark)
+    rows = df.select("tx_id", "ts", key, "amount", F.to_date("ts").alias("day"))
+    if not store.exists(f"{base}/days/_SUCCESS"):
+        rows.repartition("day", F.pmod(F.xxhash64("tx_id"), F.lit(8))).write.mode("overwrite").partitionBy("day").parquet(f"{base}/days")
+    shape = rows.schema
+    stored = lambda: spark.read.schema(shape).parquet(f"{base}/days")
+    days = [str(r["day"]) for r in stored().select("day").distinct().orderBy("day").collect()]  # as many as the calendar has
+    parts = [days[i : i + days_in_batch] for i in range(0, len(days), days_in_batch)]
+    state, kind = f"{base}/state", f"{key} {dict(rows.dtypes)[key]}, n long, s double"
+    for k in range(len(parts)):
+        if not store.exists(f"{base}/ticks/{k:09d}"):
+            store.create(f"{base}/ticks/{k:09d}", b"%d\n" % k)
+    if not parts:
+        return spark.createDataFrame([], "tx_id long, day date, degree long, mean double")
+
+    def step(_: DataFrame, k: int) -> None:
+        today = stored().filter(F.col("day").between(F.lit(parts[k][0]).cast("date"), F.lit(parts[k][-1]).cast("date")))
+        known = spark.read.schema(kind).parquet(f"{state}/{k - 1}") if k else None
+        scored, new = scored_days(checked_append(parts[k - 1][-1] if k else None, today), known, key)
+        scored.write.mode("overwrite").parquet(f"{base}/scored/batch={k}")
+        new.write.mode("overwrite").parquet(f"{state}/{k}")
+        if k > 1:
+            store.remove(f"{state}/{k - 2}")
+        if after:
+            after(k)
+
+    ticks = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(f"{base}/ticks")
+    query = ticks.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(f"{base}/scored").drop("batch")
 
 
 def keyed_state(stream: DataFrame, key: str) -> DataFrame:
-    """key, n, total of each entity so far, by a stateful operator whose state is two numbers for an entity."""
-    import pandas as pd
-
-    def add(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        n, s = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n, s = n + len(b), s + float(b["amount"].sum())
-        state.update((n, s))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [s]})
-
-    return stream.groupBy(key).applyInPandasWithState(add, f"{key} long, n long, total double", "n long, total double", "update", "NoTimeout")
+    """key, n, total of each entity so far: a stateful aggregate whose state is two numbers for an entity."""
+    return stream.groupBy(key).agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 
 def tumbling(df: DataFrame, width: str = "1 day") -> DataFrame:
