@@ -153,10 +153,10 @@ def _(spark, d):
     return j.select("tx_id", ((a != y) & (b != y)).cast("int").alias("consistent_wrong"), (a != b).cast("int").alias("switched"), (F.greatest("score_a", "score_b") - F.least("score_a", "score_b")).alias("range"))
 
 
-@query("met22_edge_audit", f"WITH {SCORED}, e AS (SELECT a.tx_id AS root, a.label AS rl, b.tx_id, b.label FROM sc a JOIN sc b USING (user_key) WHERE a.tx_id % 50 = 0) SELECT count(*) AS edges, round(avg((root = tx_id)::INT), 6) AS self_edges, round(avg((rl = label)::INT) FILTER (root <> tx_id), 6) AS homophily, round(avg(label) FILTER (root <> tx_id) / (SELECT avg(label) FROM sc), 6) AS fraud_lift FROM e")
+@query("met22_edge_audit", f"WITH {SCORED}, e AS (SELECT a.tx_id AS root, a.label AS rl, b.tx_id, b.label FROM sc a JOIN sc b USING (user_key)) SELECT count(*) AS edges, round(avg((root = tx_id)::INT), 6) AS self_edges, round(avg((rl = label)::INT) FILTER (root <> tx_id), 6) AS homophily, round(avg(label) FILTER (root <> tx_id) / (SELECT avg(label) FROM sc), 6) AS fraud_lift FROM e")
 def _(spark, d):
     t = rows(spark, d)
-    roots = t.filter("tx_id % 50 = 0").select("user_key", F.col("tx_id").alias("root"), F.col("label").alias("rl"))
+    roots = t.select("user_key", F.col("tx_id").alias("root"), F.col("label").alias("rl"))
     e = t.select("user_key", "tx_id", "label").join(roots, "user_key")
     other = F.col("root") != F.col("tx_id")
     base = F.broadcast(t.agg(F.avg("label").alias("base")))
@@ -195,7 +195,7 @@ def _(spark, d):
 def _(spark, d):
     from ..operators.relational import paired
 
-    a, b = runs(spark, d, whole=True)
+    a, b = runs(spark, d)
     days = transactions(spark, d).select("tx_id", F.to_date("ts").alias("day"))
     j = paired(a, b, "tx_id").join(days, "tx_id").withColumn("delta", F.col("score_b") - F.col("score_a"))
     return M.bootstrap_mean(j, "delta", "day", 200, 26)
@@ -217,7 +217,7 @@ def _(spark, d):
     return ap.agg(F.avg("ap").alias("mean"), F.percentile("ap", 0.025).alias("lo"), F.percentile("ap", 0.975).alias("hi"))
 
 
-def _discordant(spark, d, whole=False):  # noqa: ANN001, ANN202
+def _discordant(spark, d, whole=True):  # noqa: ANN001, ANN202
     from ..operators.relational import paired
 
     j = paired(*runs(spark, d, whole), "tx_id").join(transactions(spark, d).select("tx_id", "channel", "state_key"), "tx_id")
@@ -231,7 +231,7 @@ def _(spark, d):
 
 @query("met28_mcnemar_holm")
 def _(spark, d):
-    return M.holm(M.mcnemar(_discordant(spark, d, whole=True), ["channel", "state_key"], "a", "b"), "p", ["channel"], "state_key")
+    return M.holm(M.mcnemar(_discordant(spark, d), ["channel", "state_key"], "a", "b"), "p", ["channel"], "state_key")
 
 
 @query("met29_daily_delta", f"WITH {_RUNS}, j AS (SELECT ts::DATE::VARCHAR AS day, ra.score AS a, rb.score AS b FROM ra JOIN rb USING (tx_id) JOIN tx USING (tx_id)) SELECT day, count(*) AS rows, round(avg(b) - avg(a), 6) AS delta FROM j GROUP BY day")
@@ -259,10 +259,10 @@ def _(spark, d):
     return t.agg(F.count(F.when(F.col("label") == 1, 1)).alias("fraud"), M.ratio(F.count(F.when((F.col("label") == 1) & (F.col("score") >= 0.6), 1)), F.count(F.when(F.col("label") == 1, 1))).alias("recall"))
 
 
-@query("met32_neighbour_age", f"WITH {SCORED}, r AS (SELECT tx_id AS root, merchant_key, ts::DATE AS day FROM sc WHERE label = 1 AND tx_id % 7 = 0), e AS (SELECT root, day - ts::DATE AS age FROM r JOIN sc USING (merchant_key) WHERE ts::DATE < day) SELECT round(quantile_cont(age, 0.5), 6) AS median, round(quantile_cont(age, 0.9), 6) AS p90, round(avg((age <= 180)::INT), 6) AS recent, round((SELECT avg((root NOT IN (SELECT root FROM e))::INT) FROM r), 6) AS cold FROM e")
+@query("met32_neighbour_age", f"WITH {SCORED}, r AS (SELECT tx_id AS root, merchant_key, ts::DATE AS day FROM sc WHERE label = 1), e AS (SELECT root, day - ts::DATE AS age FROM r JOIN sc USING (merchant_key) WHERE ts::DATE < day) SELECT round(quantile_cont(age, 0.5), 6) AS median, round(quantile_cont(age, 0.9), 6) AS p90, round(avg((age <= 180)::INT), 6) AS recent, round((SELECT avg((root NOT IN (SELECT root FROM e))::INT) FROM r), 6) AS cold FROM e")
 def _(spark, d):
     t = rows(spark, d)
-    r = t.filter("label = 1 AND tx_id % 7 = 0").select(F.col("tx_id").alias("root"), "merchant_key", F.to_date("ts").alias("day"))
+    r = t.filter("label = 1").select(F.col("tx_id").alias("root"), "merchant_key", F.to_date("ts").alias("day"))
     e = r.join(t.select("merchant_key", F.to_date("ts").alias("d")), "merchant_key").filter("d < day").select("root", F.datediff("day", "d").alias("age"))
     cold = r.join(e.select("root").distinct().withColumn("warm", F.lit(1)), "root", "left").agg(F.avg(F.col("warm").isNull().cast("double")).alias("cold"))
     return e.agg(F.percentile("age", 0.5).alias("median"), F.percentile("age", 0.9).alias("p90"), F.avg((F.col("age") <= 180).cast("double")).alias("recent")).crossJoin(F.broadcast(cold))

@@ -9,11 +9,11 @@ from ..operators import splits as S
 from ..sources.fixtures import EV, SCORED, TX, U, scored, table, transactions, tx_events, uniform
 from .registry import query
 
-_RUNS = f"{SCORED}, ra AS (SELECT tx_id, label, score FROM sc), rb AS (SELECT tx_id, label, floor({U.format("'5|' || tx_id")} * 100) / 100.0::DOUBLE AS score FROM tx WHERE tx_id % 3 = 0)"
+_RUNS = f"{SCORED}, ra AS (SELECT tx_id, label, score FROM sc), rb AS (SELECT tx_id, label, floor({U.format("'5|' || tx_id")} * 100) / 100.0::DOUBLE AS score FROM tx)"
 
 
-def runs(spark, d, whole=False):  # noqa: ANN001, ANN201
-    """Runs A and B; B has a third of the rows, as the SQL of the queries that read it states, or with whole all."""
+def runs(spark, d, whole=True):  # noqa: ANN001, ANN201
+    """Runs A and B over all rows; without `whole`, B is a run that covers a third of them (for tests of unpaired rows)."""
     a = scored(transactions(spark, d)).select("tx_id", "label", "score")
     b = transactions(spark, d).filter("true" if whole else "tx_id % 3 = 0").select("tx_id", "label", (F.floor(uniform(5, "tx_id") * 100) / 100.0).alias("score"))
     return a, b
@@ -24,10 +24,10 @@ def _(spark, d):
     return R.paired(*runs(spark, d), "tx_id")
 
 
-@query("joi2_left_degrees", f"WITH {_RUNS}, g AS (SELECT merchant_key, count(*) AS degree FROM tx WHERE tx_id < 3000 GROUP BY ALL) SELECT tx_id, degree FROM tx LEFT JOIN g USING (merchant_key)")
+@query("joi2_left_degrees", f"WITH {_RUNS}, g AS (SELECT merchant_key, count(*) AS degree FROM tx WHERE ts < TIMESTAMP '1996-01-01' GROUP BY ALL) SELECT tx_id, degree FROM tx LEFT JOIN g USING (merchant_key)")
 def _(spark, d):
     t = transactions(spark, d)
-    g = t.filter("tx_id < 3000").groupBy("merchant_key").agg(F.count("*").alias("degree"))
+    g = t.filter("ts < TIMESTAMP_NTZ '1996-01-01 00:00:00'").groupBy("merchant_key").agg(F.count("*").alias("degree"))
     return t.join(g, "merchant_key", "left").select("tx_id", "degree")
 
 

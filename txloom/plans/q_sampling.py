@@ -52,11 +52,11 @@ def _(spark, d):
     return A.neighbours(e.join(hubs, "entity", "left_semi"), 25, 5, weight="w").select("entity", "tx_id")
 
 
-_ROOTS = f"{EDGE}, roots AS (SELECT tx_id AS root, merchant_key AS entity, ts::DATE AS day FROM tx WHERE label = 1 AND tx_id % 7 = 0)"
+_ROOTS = f"{EDGE}, roots AS (SELECT tx_id AS root, merchant_key AS entity, ts::DATE AS day FROM tx WHERE label = 1)"
 
 
 def _roots(spark, d):  # noqa: ANN001, ANN202
-    return transactions(spark, d).filter("label = 1 AND tx_id % 7 = 0").select(F.col("tx_id").alias("root"), F.col("merchant_key").alias("entity"), F.to_date("ts").alias("day"))
+    return transactions(spark, d).filter("label = 1").select(F.col("tx_id").alias("root"), F.col("merchant_key").alias("entity"), F.to_date("ts").alias("day"))
 
 
 for _mode, _when in (("static", "TRUE"), ("frozen", "e.ts < TIMESTAMP '1997-01-01'"), ("moving", "e.ts::DATE < day")):
@@ -71,7 +71,7 @@ def _(spark, d):
     return A.causal_neighbours(_roots(spark, d), edges(spark, d).select("entity", "tx_id", "ts"), 8, 6, "recent", recent=3)
 
 
-_ADJ = f"{TX}, a AS (SELECT 'user:' || user_key AS k, tx_id FROM tx UNION ALL SELECT 'merchant:' || merchant_key, tx_id FROM tx), roots AS (SELECT tx_id AS root FROM tx WHERE label = 1 AND tx_id % 20 = 0)"
+_ADJ = f"{TX}, a AS (SELECT 'user:' || user_key AS k, tx_id FROM tx UNION ALL SELECT 'merchant:' || merchant_key, tx_id FROM tx), roots AS (SELECT tx_id AS root FROM tx WHERE label = 1)"
 
 
 def _table(seed: int, k: int, name: str) -> str:
@@ -85,12 +85,12 @@ def _adjacency(spark, d):  # noqa: ANN001, ANN202
 
 
 def _tx_roots(spark, d):  # noqa: ANN001, ANN202
-    return transactions(spark, d).filter("label = 1 AND tx_id % 20 = 0").select(F.col("tx_id").alias("root"))
+    return transactions(spark, d).filter("label = 1").select(F.col("tx_id").alias("root"))
 
 
-@query("sam9_two_layers", f"WITH {_ADJ}, {_table(11, 5, 't1')}, {_table(12, 3, 't2')}, l1 AS (SELECT DISTINCT root, root AS dst, t1.tx_id AS src FROM roots JOIN a ON a.tx_id = root JOIN t1 ON t1.k = a.k WHERE t1.tx_id <> root), l2 AS (SELECT DISTINCT root, src AS dst, t2.tx_id AS src FROM l1 JOIN a ON a.tx_id = src JOIN t2 ON t2.k = a.k WHERE t2.tx_id <> src) SELECT root, 1 AS layer, dst, src FROM l1 UNION ALL SELECT root, 2, dst, src FROM l2")
+@query("sam9_two_layers", f"WITH {_ADJ}, {_table(11, 25, 't1')}, {_table(12, 10, 't2')}, l1 AS (SELECT DISTINCT root, root AS dst, t1.tx_id AS src FROM roots JOIN a ON a.tx_id = root JOIN t1 ON t1.k = a.k WHERE t1.tx_id <> root), l2 AS (SELECT DISTINCT root, src AS dst, t2.tx_id AS src FROM l1 JOIN a ON a.tx_id = src JOIN t2 ON t2.k = a.k WHERE t2.tx_id <> src) SELECT root, 1 AS layer, dst, src FROM l1 UNION ALL SELECT root, 2, dst, src FROM l2")
 def _(spark, d):
-    return A.two_layers(_tx_roots(spark, d), _adjacency(spark, d), (5, 3), 11)
+    return A.two_layers(_tx_roots(spark, d), _adjacency(spark, d), (25, 10), 11)
 
 
 @query("sam10_frontier", f"WITH {_ADJ}, {_table(22, 4, 't1')}, {_table(23, 4, 't2')}, h1 AS (SELECT DISTINCT t1.tx_id FROM roots JOIN a ON a.tx_id = root JOIN t1 ON t1.k = a.k WHERE t1.tx_id NOT IN (SELECT root FROM roots)), h2 AS (SELECT DISTINCT t2.tx_id FROM h1 JOIN a ON a.tx_id = h1.tx_id JOIN t2 ON t2.k = a.k WHERE t2.tx_id NOT IN (SELECT root FROM roots) AND t2.tx_id NOT IN (SELECT tx_id FROM h1)) SELECT root AS tx_id, 0 AS hop FROM roots UNION ALL SELECT tx_id, 1 FROM h1 UNION ALL SELECT tx_id, 2 FROM h2")
@@ -141,9 +141,9 @@ def _(spark, d):
     return A.majority_down(transactions(spark, d).select("tx_id", "label"), 200, 18)
 
 
-@query("sam19_inclusion", f"WITH {EV}, e AS (SELECT merchant_key AS entity, tx_id, 1 + abs(amount) AS w FROM ev WHERE merchant_key < 10), k AS (SELECT entity, tx_id, n, row_number() OVER (PARTITION BY n, entity ORDER BY {g("'19'", 'n', 'entity', 'tx_id', weight='w')} DESC, tx_id) AS r FROM e, range(1, 21) d(n)), t AS (SELECT entity, tx_id, count(*) / 20.0::DOUBLE AS x FROM k WHERE r <= 5 GROUP BY ALL) SELECT entity, tx_id, coalesce(x, 0) AS inclusion FROM e LEFT JOIN t USING (entity, tx_id)")
+@query("sam19_inclusion", f"WITH {EV}, e AS (SELECT merchant_key AS entity, tx_id, 1 + abs(amount) AS w FROM ev), k AS (SELECT entity, tx_id, n, row_number() OVER (PARTITION BY n, entity ORDER BY {g("'19'", 'n', 'entity', 'tx_id', weight='w')} DESC, tx_id) AS r FROM e, range(1, 21) d(n)), t AS (SELECT entity, tx_id, count(*) / 20.0::DOUBLE AS x FROM k WHERE r <= 5 GROUP BY ALL) SELECT entity, tx_id, coalesce(x, 0) AS inclusion FROM e LEFT JOIN t USING (entity, tx_id)")
 def _(spark, d):
-    e = tx_events(spark, d).filter("merchant_key < 10").select(F.col("merchant_key").alias("entity"), "tx_id", (1 + F.abs("amount")).alias("w"))
+    e = tx_events(spark, d).select(F.col("merchant_key").alias("entity"), "tx_id", (1 + F.abs("amount")).alias("w"))
     return A.inclusion(e, 20, 5, 19, weight="w")
 
 
