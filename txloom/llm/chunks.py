@@ -117,8 +117,9 @@ def neighbours(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     none = F.col("doc_id").isNull()
     part = F.lit(len(bounds))
     if bounds:  # part: the number of bounds above the doc_id
-        lists = F.array(*map(F.lit, bounds))
-        part = F.when(none, len(bounds)).otherwise(F.size(F.filter(lists, lambda b: b > F.col("doc_id"))))
+        lists, steps = F.array(*map(F.lit, bounds)), F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+        halved = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(lists, at + step - 1) > F.col("doc_id"), at + step).otherwise(at))
+        part = F.when(none, len(bounds)).otherwise(halved)
     first = rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).orderBy("part").collect()
     tops = {r["part"]: r["top"] for r in first}
     order = [r["part"] for r in first]
