@@ -10,8 +10,8 @@ stops at REPEATS times its source's words, and what is over goes to the others b
 
 Scale: no task gets a whole source. A source's cumulative words are found in two levels: a window in each
 (source, hash prefix) and one over the prefixes' sums; the prefix's length follows the number of rows. The global
-order is cut in bins of virtual time; words are even over virtual time by construction, so bins are even too. Only
-the bin in which the budget ends is ranked. The driver gets single rows. Everything runs on rows of a few numbers,
+order is cut in bins of virtual time; words are even over virtual time by construction, so bins are even too. The bin in
+which the budget ends is found by two levels of sums, and only that bin is ranked. The driver gets single rows. Everything runs on rows of a few numbers,
 checkpointed after one scan of the texts.
 
 Null texts and texts without words have size 0 and take nothing. Repeated rows are documents of their own; rows
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from math import ceil, log
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words, row_key
@@ -77,6 +77,22 @@ def copy_times(repeats: int) -> Column:
     return F.when((F.col("size") > 0) & (F.col("target") > 0), each).otherwise(F.array().cast("array<double>"))
 
 
+def crossing(sums: DataFrame, budget: float, width: int) -> Row | None:
+    """The bin in which the words, added up in order of bins, go over the budget, and the words before it; none: null.
+
+    First runs of `width` bins are added up, then the bins of the run in which the budget is crossed, so a task has the square
+    root of the bins or so.
+    """
+
+    def over(table: DataFrame, key: str, before: float) -> Row | None:
+        upto = F.sum("words").over(Window.orderBy(key)) + F.lit(before)
+        return table.withColumn("upto", upto).filter(F.col("upto") > F.lit(budget)).orderBy(key).select(F.col(key).alias("bin"), (F.col("upto") - F.col("words")).alias("before")).first()
+
+    runs = sums.groupBy(F.floor(F.col("bin") / width).alias("run")).agg(F.sum("words").alias("words"))
+    found = over(runs, "run", 0)
+    return found and over(sums.filter(F.floor(F.col("bin") / width) == found["bin"]), "bin", found["before"])
+
+
 def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
     """timed() with times (virtual finish times of the copies), copies (how many of them the mix takes) and taken (their words)."""
     rows = cut(timed(docs, seed, weights, share, repeats, carry).withColumn("times", copy_times(repeats)))
@@ -84,9 +100,8 @@ def mixed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS
     budget = (total or 0) * share
     bins = max(16, (count or 0) * repeats // ROWS)
     copies = rows.select("doc_id", "size", "place", F.explode("times").alias("time")).withColumn("bin", F.floor(F.col("time") * bins))
-    sums = copies.groupBy("bin").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.orderBy("bin"))
-    last = sums.withColumn("upto", upto).filter(F.col("upto") > F.lit(float(budget))).orderBy("bin").select("bin", (F.col("upto") - F.col("words")).alias("before")).first()
+    sums = cut(copies.groupBy("bin").agg(F.sum("size").alias("words")))
+    last = crossing(sums, float(budget), max(1, bins // ROWS))
     if last is None:
         n = F.size("times")
     else:
