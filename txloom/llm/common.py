@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -29,6 +30,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files and checkpoints of tables that nothing refers to any more.
+
+    It learns of them when the driver's garbage is collected, which else may be long after.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def row_key(columns: list[str]) -> Column:
     """A hash of the whole row that tells a null from any value; equal only for rows that repeat one another."""
     return F.xxhash64(*(F.col(f"`{c}`") for c in columns), F.concat(*(F.col(f"`{c}`").isNull().cast("string") for c in columns)))

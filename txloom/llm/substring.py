@@ -1,27 +1,29 @@
 """Substring dedup by De Bruijn compaction.
 
-The graph's edges are the windows of SPAN consecutive words of a document (token k-mers), its nodes the
-sequences of SPAN - 1 words. Edges that occur once can't take part in a repeat. A repeated span is a path of
-repeated edges, and along a path without branches all its edges share their occurrences, so the path is kept as
-one row instead of one row an edge:
-
-1. Each edge is dealt to the least hashed ANCHOR-word sequence in it (its minimizer, ties to the left), which
-   depends on the edge's words only. Consecutive edges of a document with the same minimizer occurrence are one
-   path piece: at most SPAN - ANCHOR + 1 edges, with a hash of all its words, its text's key, start and length.
-   Equal windows always meet under their minimizer, so a minimizer that occurs once ends the matter for all
-   edges under it: an aggregate and a semi-join drop these rows.
-2. Under a repeated minimizer, equal pieces are joined on (minimizer, words' hash): a piece that occurs twice is a
-   non-branching repeated path, and all its edges are repeated.
-3. Where a minimizer has pieces with different words the path branches inside a piece. There one occurrence of
-   each piece goes back to its source coordinates, its text is read again, and single edges are compared.
-4. The spans from 2 and 3 meet by text, adjacent ones merge, and the words they cover go.
-
-Words are compared by 128 bits (minimizer and piece, or minimizer and edge). Texts are known by 128 bits, so
-copies share their spans. No step lists the pairs of a group; hot minimizers are counted by partial aggregates
-and joined by skew-aware joins.
+The graph's edges are the windows of SPAN consecutive words of a document (token k-mers), its nodes the sequences of SPAN - 1
+words between them. Edges that occur once can't take part in a repeat, so only repeated ones are kept:
+
+1. Each edge is dealt to the least hashed ANCHOR-word sequence in it (its minimizer, ties to the left), which depends on the
+   edge's words only. Consecutive edges of a document with the same minimizer occurrence travel as one row: at most
+   SPAN - ANCHOR + 1 edges, with a hash of all their words, the row's key, start and length. Equal edges meet under their
+   minimizer, so a minimizer that occurs once ends the matter for all edges under it.
+2. Under a repeated minimizer, a stretch whose hash occurs twice is a unit of repeated edges. Of stretches that occur once but
+   share their minimizer with others, the words are read again at their source coordinates and single edges are compared; each
+   repeated one is a unit.
+3. Units of a document that follow each other without a gap are joined at a node. The degree table has for each unit how many
+   different units (or none) come before and after it. Where neither side branches, units are compacted to one path;
+   a path is known by its first unit and its number of edges, as what follows is the same at each occurrence.
+4. Each path's words are read at two of its source coordinates and joined to all its occurrences. An occurrence whose
+   own words differ from those at the other place is no repeat. The words that verified paths cover go.
+
+Words are found by 128 bits (minimizer and hash) and verified as they are. Rows are known by 128 bits of doc_id and text, so
+copies of a text are dealt apart. No step lists the pairs of a group; what many rows share is counted by partial aggregates
+and joined by joins whose sides are both exchanges, which skew handling can split. Only rows that agree in doc_id and text,
+or copies without doc_id, share a key.
 
 Nulls, empty texts and texts of fewer than SPAN words lose nothing. Repeated rows count as occurrences and stay
-repeated. Texts of any length are handled in blocks that overlap by SPAN - 1 words. Other columns are ignored.
+repeated. Texts of any length are hashed in blocks that overlap by SPAN - 1 words. Other columns are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts
+from .common import cut, slices, texts, tidy
 
 SPAN, ANCHOR = 35, 8
 #: Words of a text that are hashed at a time; positions in a block must fit 24 bits.
@@ -129,9 +131,9 @@ def listed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the 128-bit key of its text (null: as empty)."""
+    """doc_id, text (null: as empty) and a 128-bit key of both, so that copies of a text are dealt apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(7), "text", "doc_id").alias("k2"))
 
 
 def path_pieces(keyed_docs: DataFrame, span: int, anchor: int) -> DataFrame:
@@ -166,7 +168,7 @@ def path_pieces(keyed_docs: DataFrame, span: int, anchor: int) -> DataFrame:
 
 
 def single_edges(asked: DataFrame, columns: list[str], span: int, anchor: int) -> DataFrame:
-    """The edges of the asked pieces: minimizer, edge, and its text's keys and start if the piece occurs once, else nulls."""
+    """The edges of the asked pieces: minimizer, edge, and its row's keys and start if the piece occurs once, else nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
@@ -192,36 +194,96 @@ def single_edges(asked: DataFrame, columns: list[str], span: int, anchor: int) -
     return asked.select(*columns).mapInArrow(run, "minimizer long, edge long, k1 long, k2 long, start long")
 
 
-def covered(n_words: int, places: list[int] | None, span: int) -> np.ndarray:
-    """Which words the windows of the pieces cover; a place is start * 64 + number of edges."""
-    steps = np.zeros(n_words + 1, np.int64)
-    if places is not None and len(places):
-        at = np.array(places, np.int64)
-        np.add.at(steps, at >> 6, 1)
-        np.add.at(steps, (at >> 6) + (at & 63) + span - 1, -1)
-    return np.cumsum(steps[:-1]) > 0
-
-
-def repeated(keyed_docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """keyed_docs with places: start * 64 + edges of each stretch of repeated edges of its text; null: none.
-
-    The rows of texts are exchanged once, by text key; the plan reuses that exchange for step 3 and for the result.
-    """
+def units(keyed_docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
+    """k1, k2, start, n (edges), u1, u2 (identity) of each stretch of repeated edges, once for each row key and start."""
+    spark = keyed_docs.sparkSession
     base = cut(path_pieces(keyed_docs, span, anchor))
     rows = base.select(*KEYS, F.explode(F.arrays_zip("minimizers", "wholes", "places")).alias("x")).select(*KEYS, F.col("x.minimizers").alias("minimizer"), F.col("x.wholes").alias("whole"), F.col("x.places").alias("place"))
-    # written before the join, so that both its sides are exchanges and AQE can split a hot minimizer
+    # written before the join, here and below, so that both sides of a join are exchanges and a hot key can be split
     again = cut(rows.groupBy("minimizer").agg(F.count("*").alias("n")).filter("n > 1").select("minimizer"))
     rows = cut(rows.join(again, "minimizer", "left_semi"))
-    pair = rows.groupBy("minimizer", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "place")).alias("at"))
-    paths = rows.join(pair.filter("n > 1").select("minimizer", "whole"), ["minimizer", "whole"], "left_semi").select(*KEYS, "place")
-    branching = pair.groupBy("minimizer").agg(F.count("*").alias("n")).filter("n > 1").select("minimizer")
+    del base, again
+    tidy(spark)
+    pair = cut(rows.groupBy("minimizer", "whole").agg(F.count("*").alias("n"), F.min(F.struct(*KEYS, "place")).alias("at")))
+    paths = rows.join(pair.filter("n > 1").select("minimizer", "whole"), ["minimizer", "whole"], "left_semi")
+    branching = cut(pair.groupBy("minimizer").agg(F.count("*").alias("n")).filter("n > 1").select("minimizer"))
     ask = F.col("at.place") * 2 + F.when(F.col("n") == 1, 1).otherwise(0)
     asked = pair.join(branching, "minimizer", "left_semi").select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), ask.alias("ask")).groupBy(*KEYS).agg(F.collect_list("ask").alias("asked"))
     columns = ["doc_id", "text", *KEYS, "asked"]
-    single = single_edges(keyed_docs.join(asked.hint("shuffle_hash"), KEYS).select(*columns), columns, span, anchor)
-    twice = single.groupBy("minimizer", "edge").agg(F.count("*").alias("n")).filter("n > 1").select("minimizer", "edge")
-    branches = single.filter("k1 is not null").join(twice, ["minimizer", "edge"], "left_semi").select(*KEYS, (F.col("start") * 64 + 1).alias("place"))
-    places = paths.union(branches).groupBy(*KEYS).agg(F.collect_set("place").alias("places"))
+    single = cut(single_edges(keyed_docs.join(asked.hint("shuffle_hash"), KEYS).select(*columns), columns, span, anchor))
+    twice = cut(single.groupBy("minimizer", "edge").agg(F.count("*").alias("n")).filter("n > 1").select("minimizer", "edge"))
+    branches = single.filter("k1 is not null").join(twice, ["minimizer", "edge"], "left_semi")
+    both = paths.select(*KEYS, F.shiftright("place", 6).alias("start"), F.col("place").bitwiseAND(F.lit(63)).alias("n"), F.col("minimizer").alias("u1"), F.col("whole").alias("u2"))
+    found = cut(both.union(branches.select(*KEYS, "start", F.lit(1).cast("long"), "minimizer", "edge")).dropDuplicates([*KEYS, "start"]))
+    del rows, pair, paths, branching, asked, single, twice, branches, both
+    tidy(spark)
+    return found
+
+
+def compacted(found: DataFrame) -> DataFrame:
+    """k1, k2, start, edges, u1, u2 (the first unit): the occurrences of maximal paths without branches."""
+    in_row = Window.partitionBy(*KEYS).orderBy("start")
+    follows = F.lead("start").over(in_row) == F.col("start") + F.col("n")
+    preceded = F.lag(F.col("start") + F.col("n")).over(in_row) == F.col("start")
+    sides = {f"{s}{i}": F.when(near, move(f"u{i}").over(in_row)) for s, near, move in (("s", follows, F.lead), ("p", preceded, F.lag)) for i in (1, 2)}
+    near = cut(found.select("*", *(c.alias(n) for n, c in sides.items())))
+    degrees = [near.select("u1", "u2", f"{s}1", f"{s}2").distinct().groupBy("u1", "u2").agg(F.count("*").alias(n)) for s, n in (("p", "ins"), ("s", "outs"))]
+    # a unit at a text's edge or next to words that aren't repeated counts null as a neighbour
+    table = cut(degrees[0].join(degrees[1], ["u1", "u2"]).filter("ins > 1 OR outs > 1").select("u1", "u2", "ins", "outs"))
+    known = near.join(table, ["u1", "u2"], "left").select(*KEYS, "start", "n", "u1", "u2", F.col("p1").isNull().alias("first"), (F.coalesce("ins", F.lit(1)) > 1).alias("joins"), (F.coalesce("outs", F.lit(1)) > 1).alias("forks"))
+    begins = F.col("first") | F.col("joins") | F.coalesce(F.lag("forks").over(in_row), F.lit(True))
+    runs = known.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(in_row))
+    head = F.min(F.struct("start", "u1", "u2")).alias("head")
+    return runs.groupBy(*KEYS, "run").agg(head, F.sum("n").alias("edges")).select(*KEYS, "head.start", "edges", "head.u1", "head.u2")
+
+
+def words_at(asked: DataFrame, span: int) -> DataFrame:
+    """u1, u2, edges, last (which of the two places), words, for the asked places (arrays of these) of each text."""
+    names = ["u1", "u2", "edges", "last", "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            out: list[list] = [[] for _ in names]
+            for text, places in zip(texts(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
+                words = text.split()
+                for p in places:
+                    row = (p["u1"], p["u2"], p["edges"], p["last"], b" ".join(words[p["start"] : p["start"] + p["edges"] + span - 1]))
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+
+    return asked.mapInArrow(run, "u1 long, u2 long, edges long, last boolean, words binary")
+
+
+def covered(words: list[bytes], places: list[dict] | None, span: int) -> np.ndarray:
+    """Which words the places cover whose words are those that are expected there (null: not to be compared)."""
+    steps = np.zeros(len(words) + 1, np.int64)
+    for p in places or ():
+        a, b = p["start"], p["start"] + p["edges"] + span - 1
+        if p["words"] is None or b" ".join(words[a:b]) == p["words"]:
+            steps[a] += 1
+            steps[b] -= 1
+    return np.cumsum(steps[:-1]) > 0
+
+
+def repeated(keyed_docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
+    """keyed_docs with places: start, edges and expected words of the repeated paths of each row; null: none.
+
+    An occurrence of a path is compared with the path's least place, that one with the greatest. A path with one place only is
+    that of a row that is repeated as it is. The texts' exchange by key is used for the words and for the result.
+    """
+    spots = cut(compacted(units(keyed_docs, span, anchor)))
+    name = ["u1", "u2", "edges"]
+    spot = F.struct(*KEYS, "start")
+    of_path = cut(spots.groupBy(*name).agg(F.min(spot).alias("least"), F.max(spot).alias("greatest")).filter("least < greatest"))
+    ends = [of_path.select(F.col(f"{e}.k1").alias("k1"), F.col(f"{e}.k2").alias("k2"), F.struct(*name, F.col(f"{e}.start").alias("start"), F.lit(last).alias("last")).alias("x")) for e, last in (("least", False), ("greatest", True))]
+    asked = ends[0].union(ends[1]).groupBy(*KEYS).agg(F.collect_list("x").alias("asked"))
+    columns = ["doc_id", "text", *KEYS, "asked"]
+    there = cut(words_at(keyed_docs.join(asked.hint("shuffle_hash"), KEYS).select(*columns), span))
+    aim = spots.join(of_path.select(*name, "least"), name, "left").withColumn("last", F.coalesce(spot == F.col("least"), F.lit(False))).drop("least")
+    expected = aim.join(there, [*name, "last"], "left")
+    places = expected.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "edges", "words")).alias("places"))
     return keyed_docs.join(places.hint("shuffle_hash"), KEYS, "left").select("doc_id", "text", *KEYS, "places")
 
 
@@ -233,7 +295,7 @@ def removed(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFram
             n, gone, digest, kept_texts, spans = [], [], [], [], []
             for text, places in zip(texts(batch.column("text")), batch.column("places").to_pylist(), strict=True):
                 words = text.split()
-                out = covered(len(words), places, span)
+                out = covered(words, places, span)
                 kept = [w for w, o in zip(words, out.tolist(), strict=True) if not o] if out.any() else words
                 joined = b" ".join(kept)
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], out.view(np.int8), [0]))))
