@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import shared_dir
+from ..functions.files import SparkFiles
+
 TIE = ["t1", "t2", "t3", "t4", "t5"]
 
 
@@ -64,8 +69,33 @@ def tx_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def identity(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the names, sizes and times of the files below paths, on any file system that Spark reads."""
+    seen = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        each = files.listFiles(at, True)
+        while each.hasNext():
+            f = each.next()
+            seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tx_lineitem with tx_id and whole seconds."""
+    """tx_lineitem with tx_id and whole seconds, prepared once for the files of its tables and then read from the shared folder.
+
+    The joins and the global order are the same for all operators, so they are written at the first use; a change of any
+    file gives another folder. The writer's commit makes a folder that was left half done not count.
+    """
+    names = ("lineitem", "orders", "part", "supplier", "nation", "region")
+    path = f"{shared_dir(spark)}/transactions-{identity(spark, [f'{sf_dir}/{n}.parquet' for n in names])}"
+    if not SparkFiles(spark).exists(f"{path}/_SUCCESS"):
+        prepared(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chronological_id(tx_lineitem(spark, sf_dir), TIE).drop(*TIE).withColumn("sec", seconds())
 
 
