@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import counted, global_rank, of_column
+
 HOUR, DAY, WEEK = 3600, 86_400, 604_800
 
 
@@ -160,8 +162,8 @@ def daily_history(df: DataFrame, key: str, prefix: str, value: str = "amount") -
 
 def rank_quartiles(df: DataFrame, value: str, order: list[str], by: list[str] | None = None, bins: int = 4) -> DataFrame:
     """bin 0..bins-1 by quantile edges of the rank (first come in `order`): edges at 1 + k * (n - 1) / bins, right-closed."""
-    w = Window.partitionBy(*(by or []))
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(value, *order))).withColumn("_n", F.count("*").over(w))
+    along = F.struct(F.col(value).alias("a"), of_column(df, order[0]).alias("b"))
+    ranked = counted(global_rank(df, along, [value, *order], "_r", by), by or [], "_n")
     edge = sum(((F.col("_r") > 1 + k * (F.col("_n") - 1) / bins).cast("int") for k in range(1, bins)), F.lit(0))
     return ranked.withColumn("bin", edge).drop("_r", "_n")
 

@@ -5,9 +5,13 @@ Curves work on distinct scores: rows are aggregated by score first, so a window
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import counted, global_rank, of_key
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
@@ -60,25 +64,30 @@ def roc_auc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def ranked(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """rank 1.. by score down, ties by tx_id; and n of the group."""
-    w = Window.partitionBy(*(by or []))
-    return df.withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), "tx_id"))).withColumn("n", F.count("*").over(w))
+    """rank 1.. by score down (null scores last), ties by tx_id; and n of the group. A group may hold most of the rows."""
+    down = F.struct(F.col("score").isNull().alias("a"), (-F.col("score")).alias("b"), of_key("tx_id").alias("c"))
+    return counted(global_rank(df, down, [F.col("score").desc(), "tx_id"], "rank", by), by or [], "n")
 
 
 def mean_average_precision(df: DataFrame, by: list[str]) -> DataFrame:
     """Mean over groups with positives of the precision at each positive's rank."""
-    w = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    hits = ranked(df, by).withColumn("tp", F.sum("label").over(w)).filter("label = 1")
+    hits = global_rank(ranked(df, by).filter("label = 1"), of_key("rank"), ["rank"], "tp", by)
     return hits.groupBy(*by).agg(F.avg(F.col("tp") / F.col("rank")).alias("ap")).agg(F.avg("ap").alias("map"), F.count("*").alias("groups"))
 
 
 def ndcg(df: DataFrame, by: list[str], k: int) -> DataFrame:
-    """by, ndcg at k with gains 2**label - 1; null without positives."""
-    gain = lambda rank: (F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(F.col(rank) + 1.0)
-    w = Window.partitionBy(*by).orderBy(F.col("label").desc(), "rank")
-    rows = ranked(df, by).withColumn("ideal", F.row_number().over(w))
-    dcg, best = (F.sum(F.when(F.col(r) <= k, gain(r)).otherwise(0.0)) for r in ("rank", "ideal"))
-    return rows.groupBy(*by).agg(ratio(dcg, best).alias("ndcg"))
+    """by, ndcg at k with gains 2**label - 1; null without positives.
+
+    The ideal order is that of the labels, so its first k gains follow from the number of rows with each label.
+    """
+    gain = (F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(F.col("rank") + 1.0)
+    got = ranked(df, by).filter(F.col("rank") <= k).groupBy(*by).agg(F.sum(gain).alias("dcg"))
+    labels = df.groupBy(*by, "label").agg(F.count("*").alias("c"))
+    above = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy(F.col("label").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = labels.withColumn("o", above).filter(F.col("o") < k).withColumn("rank", F.explode(F.sequence(F.col("o") + 1, F.least(F.col("o") + F.col("c"), F.lit(k)))))
+    best = places.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.sum(gain).alias("best"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
+    return got.join(best, same).select(*by, ratio(F.col("dcg"), F.col("best")).alias("ndcg"))
 
 
 def budget_k(n: Column, share: float, rule: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import global_rank, of_key
+from ..functions.ranks import counted, global_rank, of_column, of_key
 
 
 def _one(df: DataFrame, *aggs: Column) -> DataFrame:
@@ -130,7 +130,11 @@ def split_statistics(df: DataFrame) -> DataFrame:
 
 def equal_bins(df: DataFrame, k: int, order: list[str], by: list[str] | None = None) -> DataFrame:
     """bin 1..k of nearly equal counts in order; the first n % k are one larger."""
-    return df.withColumn("bin", F.ntile(k).over(Window.partitionBy(*(by or [])).orderBy(*order)))
+    rows = counted(global_rank(df, of_column(df, order[0]), order, "_r", by), by or [], "_n")
+    small, larger = F.floor(F.col("_n") / k), F.col("_n") % k
+    in_larger = larger * (small + 1)
+    bins = F.when(F.col("_r") <= in_larger, F.ceil(F.col("_r") / (small + 1))).otherwise(larger + F.ceil((F.col("_r") - in_larger) / F.greatest(small, F.lit(1))))
+    return rows.withColumn("bin", bins.cast("int")).drop("_r", "_n")
 
 
 def embargo_ablation(df: DataFrame, gaps: list[int], start: str, train: int, val: int, test: int) -> DataFrame:
