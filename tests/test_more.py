@@ -283,3 +283,19 @@ def test_errors_of_the_file_system_are_tried_again():
     files.retried(act, 5, 0.001)
     with pytest.raises(PermissionError):
         files.retried(lambda: (_ for _ in ()).throw(PermissionError("held")), 2, 0.001)
+
+
+def test_typed_forward_equals_numpy(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(30, 3))
+    users, shops = r.integers(0, 5, 30), r.integers(0, 4, 30)
+    w = model.typed_weights(3, 4, ["u", "m"])
+    features = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(30)], "tx_id long, x array<double>")
+    roots = spark.createDataFrame([(i, int(users[i]), int(shops[i])) for i in range(30)], "tx_id long, u long, m long")
+    near = {"u": [(int(e), i) for e in range(4) for i in np.flatnonzero(users == e)[:3].tolist()], "m": [(int(e), i) for e in range(4) for i in np.flatnonzero(shops == e)[:3].tolist()]}
+    sides = {s: spark.createDataFrame(rows, "entity long, tx_id long") for s, rows in near.items()}
+    got = {q.tx_id: q.logit for q in model.typed_forward(roots, sides, features, w).collect()}
+    state = {s: {e: np.maximum(x[[i for k, i in rows if k == e]].mean(0) @ w[s], 0) for e in {k for k, _ in rows}} for s, rows in near.items()}
+    for i in range(30):
+        ends = (state["u"].get(users[i], np.zeros(4)) + state["m"].get(shops[i], np.zeros(4))) / 2
+        assert got[i] == pytest.approx(float((np.maximum(x[i] @ w["own"] + ends @ w["near"], 0) @ w["head"])[0]), abs=1e-9)
