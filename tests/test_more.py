@@ -299,3 +299,23 @@ def test_typed_forward_equals_numpy(spark):
     for i in range(30):
         ends = (state["u"].get(users[i], np.zeros(4)) + state["m"].get(shops[i], np.zeros(4))) / 2
         assert got[i] == pytest.approx(float((np.maximum(x[i] @ w["own"] + ends @ w["near"], 0) @ w["head"])[0]), abs=1e-9)
+
+
+@pytest.mark.parametrize("rows_in_batch", ["3", "10000"])
+def test_groups_are_carried_over_batches(spark, rows_in_batch):
+    from txloom.streaming import groups
+
+    r = np.random.default_rng(3)
+    rows = [(i, None if i % 11 == 0 else int(r.integers(0, 4)), int(r.integers(0, 50))) for i in range(120)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_in_batch)
+    try:
+        got = {q.tx_id: (q.place, q.gap) for q in groups.carried(spark.createDataFrame(rows, "tx_id long, user_key long, sec long"), "user_key").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, last = {}, {}
+    for i, k, s in sorted(rows, key=lambda x: (x[2], x[0])):
+        place, before_s = last.get(k, (0, None))
+        want[i] = (place + 1, None if before_s is None else s - before_s)
+        last[k] = (place + 1, s)
+    assert got == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.checkpoints import shared_dir
 from ..operators import history as H
 from ..sources.fixtures import EV, tx_events
+from ..streaming import groups as G
 from ..streaming import replay as R
 from .q_history import _DAILY, past
 from .registry import query
@@ -61,6 +62,11 @@ def _(spark, d):
     return R.day_records(tx_events(spark, d)).drop("digest")
 
 
+@query("str6_group_carry", f"WITH {EV} SELECT tx_id, row_number() OVER w AS place, sec - lag(sec) OVER w AS gap FROM ev WINDOW w AS (PARTITION BY user_key ORDER BY sec, tx_id)")
+def _(spark, d):
+    return G.carried(tx_events(spark, d), "user_key")
+
+
 @query("str7_sliding_counts", f"WITH {EV} SELECT tx_id, " + ", ".join(f"count(*) OVER {past('user_key', n)} AS n_{a}" for a, n in (("1h", 3600), ("24h", 86400), ("7d", 604800))) + " FROM ev")
 def _(spark, d):
     p = H.Past("user_key")
