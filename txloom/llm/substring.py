@@ -13,10 +13,13 @@ words between them. Edges that occur once can't take part in a repeat, so only r
 3. Units of a document that follow each other without a gap are joined at a node. The degree table has for each unit how many
    different units (or none) come before and after it. Where neither side branches, units are compacted to one path;
    a path is known by its first unit and its number of edges, as what follows is the same at each occurrence.
-4. Each path's words are read at two of its source coordinates and joined to all its occurrences. An occurrence whose
-   own words differ from those at the other place is no repeat. The words that verified paths cover go.
+4. Each path's words are read at two of its source coordinates, and a digest of them (128 bits over the words as they stand
+   there) is joined to all its occurrences. An occurrence whose own words have another digest than those at the other place is
+   no repeat. The words that verified paths cover go. Words themselves stay where they are: shipped to all occurrences
+   they took more disk than the rest of the job.
 
-Words are found by 128 bits (minimizer and hash) and verified as they are. Rows are known by 128 bits of doc_id and text, so
+Edges are found by 128 bits (minimizer and hash). A path of which one place only is known, because its other occurrences lie
+inside longer stretches, rests on these alone. Rows are known by 128 bits of doc_id and text, so
 copies of a text are dealt apart. No step lists the pairs of a group; what many rows share is counted by partial aggregates
 and joined by joins whose sides are both exchanges, which skew handling can split. Only rows that agree in doc_id and text,
 or copies without doc_id, share a key.
@@ -211,11 +214,13 @@ def units(keyed_docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> Data
     asked = pair.join(branching, "minimizer", "left_semi").select(F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"), ask.alias("ask")).groupBy(*KEYS).agg(F.collect_list("ask").alias("asked"))
     columns = ["doc_id", "text", *KEYS, "asked"]
     single = cut(single_edges(keyed_docs.join(asked.hint("shuffle_hash"), KEYS).select(*columns), columns, span, anchor))
+    del asked, branching
+    tidy(spark)
     twice = cut(single.groupBy("minimizer", "edge").agg(F.count("*").alias("n")).filter("n > 1").select("minimizer", "edge"))
     branches = single.filter("k1 is not null").join(twice, ["minimizer", "edge"], "left_semi")
     both = paths.select(*KEYS, F.shiftright("place", 6).alias("start"), F.col("place").bitwiseAND(F.lit(63)).alias("n"), F.col("minimizer").alias("u1"), F.col("whole").alias("u2"))
     found = cut(both.union(branches.select(*KEYS, "start", F.lit(1).cast("long"), "minimizer", "edge")).dropDuplicates([*KEYS, "start"]))
-    del rows, pair, paths, branching, asked, single, twice, branches, both
+    del rows, pair, paths, single, twice, branches, both
     tidy(spark)
     return found
 
@@ -225,21 +230,29 @@ def compacted(found: DataFrame) -> DataFrame:
     in_row = Window.partitionBy(*KEYS).orderBy("start")
     follows = F.lead("start").over(in_row) == F.col("start") + F.col("n")
     preceded = F.lag(F.col("start") + F.col("n")).over(in_row) == F.col("start")
-    sides = {f"{s}{i}": F.when(near, move(f"u{i}").over(in_row)) for s, near, move in (("s", follows, F.lead), ("p", preceded, F.lag)) for i in (1, 2)}
-    near = cut(found.select("*", *(c.alias(n) for n, c in sides.items())))
-    degrees = [near.select("u1", "u2", f"{s}1", f"{s}2").distinct().groupBy("u1", "u2").agg(F.count("*").alias(n)) for s, n in (("p", "ins"), ("s", "outs"))]
-    # a unit at a text's edge or next to words that aren't repeated counts null as a neighbour
-    table = cut(degrees[0].join(degrees[1], ["u1", "u2"]).filter("ins > 1 OR outs > 1").select("u1", "u2", "ins", "outs"))
-    known = near.join(table, ["u1", "u2"], "left").select(*KEYS, "start", "n", "u1", "u2", F.col("p1").isNull().alias("first"), (F.coalesce("ins", F.lit(1)) > 1).alias("joins"), (F.coalesce("outs", F.lit(1)) > 1).alias("forks"))
-    begins = F.col("first") | F.col("joins") | F.coalesce(F.lag("forks").over(in_row), F.lit(True))
+    unit = F.xxhash64("u1", "u2")
+    near = found.select("u1", "u2", F.when(follows, F.lead(unit).over(in_row)).alias("next"), F.when(preceded, F.lag(unit).over(in_row)).alias("last"))
+    # a unit branches if it has two neighbours on a side, or one at some places and none (words that aren't repeated) at others
+    ends = [f(c).alias(f"{n}_{c}") for c in ("next", "last") for f, n in ((F.min, "min"), (F.max, "max"), (F.count, "count"))]
+    degrees = near.groupBy("u1", "u2").agg(F.count("*").alias("all"), *ends)
+    branches = lambda c: (F.col(f"min_{c}") != F.col(f"max_{c}")) | (F.col(f"count_{c}") > 0) & (F.col(f"count_{c}") < F.col("all"))
+    sides = [F.coalesce(branches(c), F.lit(False)).alias(n) for c, n in (("last", "joins"), ("next", "forks"))]
+    table = cut(degrees.select("u1", "u2", *sides).filter("joins OR forks"))
+    tidy(found.sparkSession)
+    known = found.join(table, ["u1", "u2"], "left").select(*KEYS, "start", "n", "u1", "u2", F.coalesce("joins", F.lit(False)).alias("joins"), F.coalesce("forks", F.lit(False)).alias("forks"))
+    begins = ~F.coalesce(preceded, F.lit(False)) | F.col("joins") | F.coalesce(F.lag("forks").over(in_row), F.lit(True))
     runs = known.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(in_row))
     head = F.min(F.struct("start", "u1", "u2")).alias("head")
     return runs.groupBy(*KEYS, "run").agg(head, F.sum("n").alias("edges")).select(*KEYS, "head.start", "edges", "head.u1", "head.u2")
 
 
-def words_at(asked: DataFrame, span: int) -> DataFrame:
-    """u1, u2, edges, last (which of the two places), words, for the asked places (arrays of these) of each text."""
-    names = ["u1", "u2", "edges", "last", "words"]
+def digest_of(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def digests_at(asked: DataFrame, span: int) -> DataFrame:
+    """u1, u2, edges, last (which of the two places), digest of the words, for the asked places of each text."""
+    names = ["u1", "u2", "edges", "last", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -247,43 +260,47 @@ def words_at(asked: DataFrame, span: int) -> DataFrame:
             for text, places in zip(texts(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
                 words = text.split()
                 for p in places:
-                    row = (p["u1"], p["u2"], p["edges"], p["last"], b" ".join(words[p["start"] : p["start"] + p["edges"] + span - 1]))
+                    row = (p["u1"], p["u2"], p["edges"], p["last"], digest_of(words[p["start"] : p["start"] + p["edges"] + span - 1]))
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
 
-    return asked.mapInArrow(run, "u1 long, u2 long, edges long, last boolean, words binary")
+    return asked.mapInArrow(run, "u1 long, u2 long, edges long, last boolean, digest binary")
 
 
 def covered(words: list[bytes], places: list[dict] | None, span: int) -> np.ndarray:
-    """Which words the places cover whose words are those that are expected there (null: not to be compared)."""
+    """Which words the places cover whose words have the digest that is expected there (null: not to be compared)."""
     steps = np.zeros(len(words) + 1, np.int64)
     for p in places or ():
         a, b = p["start"], p["start"] + p["edges"] + span - 1
-        if p["words"] is None or b" ".join(words[a:b]) == p["words"]:
+        if p["digest"] is None or digest_of(words[a:b]) == p["digest"]:
             steps[a] += 1
             steps[b] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
 def repeated(keyed_docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """keyed_docs with places: start, edges and expected words of the repeated paths of each row; null: none.
+    """keyed_docs with places: start, edges and expected digest of the repeated paths of each row; null: none.
 
     An occurrence of a path is compared with the path's least place, that one with the greatest. A path with one place only is
-    that of a row that is repeated as it is. The texts' exchange by key is used for the words and for the result.
+    that of a row that is repeated as it is. The texts' exchange by key is used for the digests and for the result.
     """
+    spark = keyed_docs.sparkSession
     spots = cut(compacted(units(keyed_docs, span, anchor)))
+    tidy(spark)
     name = ["u1", "u2", "edges"]
     spot = F.struct(*KEYS, "start")
     of_path = cut(spots.groupBy(*name).agg(F.min(spot).alias("least"), F.max(spot).alias("greatest")).filter("least < greatest"))
+    tidy(spark)
     ends = [of_path.select(F.col(f"{e}.k1").alias("k1"), F.col(f"{e}.k2").alias("k2"), F.struct(*name, F.col(f"{e}.start").alias("start"), F.lit(last).alias("last")).alias("x")) for e, last in (("least", False), ("greatest", True))]
     asked = ends[0].union(ends[1]).groupBy(*KEYS).agg(F.collect_list("x").alias("asked"))
     columns = ["doc_id", "text", *KEYS, "asked"]
-    there = cut(words_at(keyed_docs.join(asked.hint("shuffle_hash"), KEYS).select(*columns), span))
-    aim = spots.join(of_path.select(*name, "least"), name, "left").withColumn("last", F.coalesce(spot == F.col("least"), F.lit(False))).drop("least")
-    expected = aim.join(there, [*name, "last"], "left")
-    places = expected.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "edges", "words")).alias("places"))
+    there = digests_at(keyed_docs.join(asked.hint("shuffle_hash"), KEYS).select(*columns), span)
+    both = there.groupBy(*name).agg(*(F.max(F.when(F.col("last") == last, F.col("digest"))).alias(n) for n, last in (("first", False), ("other", True))))
+    pairs = of_path.select(*name, "least").join(both, name)
+    expected = spots.join(pairs, name, "left").select(*KEYS, "start", "edges", F.when(spot == F.col("least"), F.col("other")).otherwise(F.col("first")).alias("digest"))
+    places = expected.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "edges", "digest")).alias("places"))
     return keyed_docs.join(places.hint("shuffle_hash"), KEYS, "left").select("doc_id", "text", *KEYS, "places")
 
 
