@@ -203,7 +203,7 @@ def floored(df: DataFrame, value: str, by: list[str], alpha: float = 0.1, power:
     ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     scaled = F.pow((F.col(value) - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0), F.lit(power))
     w = scaled + alpha if mode == "add" else alpha + (1 - alpha) * scaled
-    return (df.join(F.broadcast(ends), by) if by else df.crossJoin(F.broadcast(ends))).withColumn(out, w).drop("_lo", "_hi")
+    return (df.join(ends, by) if by else df.crossJoin(F.broadcast(ends))).withColumn(out, w).drop("_lo", "_hi")
 
 
 def causal_context(df: DataFrame, day: str) -> DataFrame:
