@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,10 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files and checkpoints of tables that nothing refers to any more.
 
-    It learns of them when the driver's garbage is collected, which else may be long after.
+    It learns of them when the driver's garbage is collected, which else may be long after. What the first collection lets
+    go of in Python and in plans, the second one finds.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def row_key(columns: list[str]) -> Column:
