@@ -1,13 +1,14 @@
 """Parts of cascades, ids against the library as it is, hot groups, ledgers over several runs, pipeline stages on odd rows."""
 
 import collections
+import hashlib
 import random
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from txloom.llm import audio, chunks, packing, quality, secret_scan, sharding, similar, simhash, url_filter
+from txloom.llm import audio, chunks, components, mixing, packing, quality, secret_scan, sharding, similar, simhash, substring, url_filter
 from txloom.llm import queries as llm
 
 
@@ -312,3 +313,74 @@ def test_sound_in_blocks_is_the_whole(monkeypatch):
     x = (np.frombuffer(data, np.uint8).astype(np.float32) - 128) / 128
     full = audio.resampled(x, rate, audio.TARGET)
     assert np.allclose(audio.sound(data, rate, 5000, 9000), full[5000:9000], atol=1e-5)
+
+
+def test_places_whose_words_differ_are_no_repeat():
+    words = [b"w%d" % i for i in range(50)]
+    same = {"start": 3, "edges": 4, "digest": substring.digest_of(words[3:16])}
+    other = {"start": 30, "edges": 2, "digest": substring.digest_of(words[29:40])}
+    assert np.flatnonzero(substring.covered(words, [same, other], 10)).tolist() == list(range(3, 16))
+    assert not substring.covered(words, None, 10).any() and len(substring.covered([], None, 10)) == 0
+
+
+def test_paths_are_maximal_and_known_by_their_first_unit(spark):
+    """Units a b c in two rows, and b c d in a third: a branches into the path b c, which goes on to d in one row only."""
+    rows = [(1, 0, 0, 5, 1, 1), (1, 0, 5, 3, 2, 2), (1, 0, 8, 2, 3, 3), (2, 0, 40, 5, 1, 1), (2, 0, 45, 3, 2, 2), (2, 0, 48, 2, 3, 3), (3, 0, 7, 3, 2, 2), (3, 0, 10, 2, 3, 3), (3, 0, 12, 1, 4, 4), (4, 0, 9, 1, 4, 4)]
+    df = spark.createDataFrame(rows, "k1 long, k2 long, start long, n long, u1 long, u2 long")
+    got = sorted((r.k1, r.start, r.edges, r.u1) for r in substring.compacted(df).collect())
+    assert got == [(1, 0, 5, 1), (1, 5, 5, 2), (2, 40, 5, 1), (2, 45, 5, 2), (3, 7, 5, 2), (3, 12, 1, 4), (4, 9, 1, 4)]
+
+
+def test_very_long_texts_cross_the_blocks(spark):
+    """A passage on the border of two blocks of hashed words, and sound of several blocks of frames."""
+    n, passage = substring.BLOCK, [f"p{i}" for i in range(60)]
+    words = [f"w{i}" for i in range(n - 30)] + passage + [f"v{i}" for i in range(5000)]
+    short = [f"s{i}" for i in range(100)] + passage + ["end"]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(short))], "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in substring.removed(df).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()}
+    for i, w in ((1, words), (2, short)):
+        kept = [x for x in w if x[0] != "p"]
+        assert got[i] == (len(w), 60, hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    text = ("a sound that rises. " * 7 + "~" * 900) * 900
+    r = audio.featured(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    data, mel, spans = audio.analysed(audio.stored(audio.payload(text.encode())))
+    assert len(mel) > 2 * audio.AT_A_TIME / 2 and r.payload_sha256 == hashlib.sha256(data).hexdigest() and r.summary == audio.summary(mel, spans)
+    assert len(r.windows) == -(-len(mel) // audio.FRAMES) and [(s.start_s, s.end_s) for s in r.segments] == spans
+
+
+def test_components_of_nulls_and_nothing(spark):
+    nodes = spark.createDataFrame([(1,), (2,), (None,), (3,)], "id long")
+    links = spark.createDataFrame([(1, 2), (None, 3), (2, 2), (1, 2)], "a long, b long")
+    got = {r.node: r.comp for r in components.connected(nodes, links).collect()}
+    assert got == {1: 1, 2: 1, None: None, 3: 3}
+    assert components.connected(nodes.limit(0), links.limit(0)).count() == 0
+    assert {r.comp for r in components.connected(nodes, links.limit(0)).collect()} == {1, 2, 3, None}
+
+
+def test_mix_by_brute_force(spark):
+    """All copies in one list by virtual time; repeated and null doc_ids, empty texts, a null source."""
+    r = random.Random(6)
+    rows = [(r.choice([None, *range(40)]), " ".join("w" for _ in range(r.randrange(0, 30))), r.choice(["a", "b", "c", None])) for _ in range(300)]
+    got = collections.Counter((q.doc_id, q.source, q["size"], q.taken) for q in mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "source", "size", "taken").collect())
+    docs = [(d, s, len(t.split()), hashlib.md5(f"mix|{'-' if d is None else d}".encode()).hexdigest()) for d, t, s in rows]
+    total = collections.Counter()
+    for _, s, n, _ in docs:
+        total[s] += n
+    aims = {q.source: q.target for q in mixing.targets(spark.createDataFrame([(s, n) for _, s, n, _ in docs], "source string, size long")).collect()}
+    copies, low = [], lambda d: (d is not None, d or 0)
+    for s in total:
+        words = 0
+        for k, (d, _, n, place) in enumerate(sorted((x for x in docs if x[1] == s), key=lambda x: (x[3], low(x[0]), x[2]))):
+            words += n
+            copies += [((i * total[s] + words) / aims[s], place, low(d), n, (s, k)) for i in range(2) if n]
+    left, taken = 1.5 * sum(total.values()), collections.Counter()
+    for _, _, _, n, who in sorted(copies, key=lambda c: c[:4]):
+        if n > left:
+            break
+        left -= n
+        taken[who] += n
+    want = collections.Counter()
+    for s in total:
+        for k, (d, _, n, _) in enumerate(sorted((x for x in docs if x[1] == s), key=lambda x: (x[3], low(x[0]), x[2]))):
+            want[d, s, n, taken[s, k]] += 1
+    assert got == want
