@@ -8,8 +8,9 @@ gives about its target.
 Targets: sources in code point order (null last) have WEIGHTS in turn and share SHARE of all words. A target
 stops at REPEATS times its source's words, and what is over goes to the others by weight until none is above.
 
-Scale: no task gets a whole source. A source's cumulative words are found in two levels: a window in each
-(source, hash prefix) and one over the prefixes' sums; the prefix's length follows the number of rows. The global
+Scale: no task gets a whole source. A source's cumulative words are found in three levels: a window in each
+(source, hash prefix), one over the sums of prefixes that begin alike, and one over these; the prefix's length follows the
+number of rows, so that a source with most rows is in many tasks. The global
 order is cut in bins of virtual time; words are even over virtual time by construction, so bins are even too. The bin in
 which the budget ends is found by two levels of sums, and only that bin is ranked. The driver gets single rows. Everything runs on rows of a few numbers,
 checkpointed after one scan of the texts.
@@ -60,10 +61,14 @@ def shuffled(seed: str) -> Column:
 def timed(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, place (the shuffle's hash), words (cumulative in the source), carried columns."""
     rows = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffled(seed).alias("place"), *carry))
-    rows = rows.withColumn("slot", F.substring("place", 1, max(1, ceil(log(max(rows.count(), 1) / ROWS + 1, 16)))))
-    sums = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
-    earlier = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("slot_size").over(earlier), F.lit(0))).select(F.col("source").alias("_s"), F.col("slot").alias("_b"), "base")
+    digits = max(1, ceil(log(max(rows.count(), 1) / ROWS + 1, 16))) + 1
+    rows = rows.withColumn("slot", F.substring("place", 1, digits))
+    sums = cut(rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))).withColumn("run", F.substring("slot", 1, digits // 2))
+    before = lambda by, order, size: F.coalesce(F.sum(size).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = sums.groupBy("source", "run").agg(F.sum("slot_size").alias("run_size"))
+    runs = runs.select(F.col("source").alias("_r"), F.col("run").alias("_of"), before(["source"], "run", "run_size").alias("start"))
+    sums = sums.withColumn("low", before(["source", "run"], "slot", "slot_size"))
+    sums = sums.join(runs, sums["source"].eqNullSafe(runs["_r"]) & (sums["run"] == runs["_of"])).select(F.col("source").alias("_s"), F.col("slot").alias("_b"), (F.col("start") + F.col("low")).alias("base"))
     inside = Window.partitionBy("source", "slot").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("inside", F.sum("size").over(inside))
     rows = rows.join(sums, rows["source"].eqNullSafe(sums["_s"]) & (rows["slot"] == sums["_b"])).withColumn("words", F.col("base") + F.col("inside"))
