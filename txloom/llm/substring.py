@@ -299,7 +299,9 @@ def repeated(keyed_docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> D
     there = digests_at(keyed_docs.join(asked.hint("shuffle_hash"), KEYS).select(*columns), span)
     both = there.groupBy(*name).agg(*(F.max(F.when(F.col("last") == last, F.col("digest"))).alias(n) for n, last in (("first", False), ("other", True))))
     pairs = of_path.select(*name, "least").join(both, name)
-    expected = spots.join(pairs, name, "left").select(*KEYS, "start", "edges", F.when(spot == F.col("least"), F.col("other")).otherwise(F.col("first")).alias("digest"))
+    # a fourth key that follows from the three, so that both sides are exchanges and a path at many places can be split
+    of_name = F.xxhash64(*name).alias("of_name")
+    expected = spots.select("*", of_name).join(pairs.select("*", of_name), [*name, "of_name"], "left").select(*KEYS, "start", "edges", F.when(spot == F.col("least"), F.col("other")).otherwise(F.col("first")).alias("digest"))
     places = expected.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "edges", "digest")).alias("places"))
     return keyed_docs.join(places.hint("shuffle_hash"), KEYS, "left").select("doc_id", "text", *KEYS, "places")
 
