@@ -1,5 +1,6 @@
 """Replay over many partitions and restarts, ranks without a one-task window, recursions, flat JSON, model rows against plain versions."""
 
+import hashlib
 import json
 import math
 from datetime import datetime, timedelta
@@ -319,3 +320,17 @@ def test_groups_are_carried_over_batches(spark, rows_in_batch):
         want[i] = (place + 1, None if before_s is None else s - before_s)
         last[k] = (place + 1, s)
     assert got == want
+
+
+@pytest.mark.parametrize("mode", ["static", "moving"])
+def test_causal_neighbours_draw_pairs_without_a_join_of_them(spark, monkeypatch, mode):
+    """Units smaller than an entity give the k best draws of all pairs, and no pair is joined, sorted or exchanged."""
+    monkeypatch.setattr(sampling, "UNIT", 4)
+    tx = spark.sql("SELECT id AS tx_id, CASE WHEN id % 3 = 0 THEN 1 ELSE id % 7 END AS entity, TIMESTAMP_NTZ '2020-01-01' + make_dt_interval(id % 9) AS ts FROM range(60)")
+    roots = tx.select(F.col("tx_id").alias("root"), "entity", F.to_date("ts").alias("day"))
+    got = sampling.causal_neighbours(roots, tx, 3, 5, mode)
+    pairs = roots.join(tx.withColumnRenamed("entity", "e"), (F.col("entity") == F.col("e")) & (F.col("tx_id") != F.col("root")))
+    pairs = pairs if mode == "static" else pairs.filter(F.to_date("ts") < F.col("day"))
+    want = sampling.top_k(pairs, ["root"], sampling.gumbel(sampling.uniform(5, "root", "tx_id")), 3).select("root", "tx_id", "rank")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "SortMergeJoin" not in got._jdf.queryExecution().optimizedPlan().toString() and " Inner" not in got._jdf.queryExecution().optimizedPlan().toString()

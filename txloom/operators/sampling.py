@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import global_rank, of_draw, of_key
 from ..sources.fixtures import uniform
 
+#: Edges and roots that are drawn together at a time; days that count as recent.
+UNIT, RECENT_DAYS = 8192, 180
+
 
 def clamped(u: Column) -> Column:
     return F.greatest(F.least(u, F.lit(1 - 2.0**-53)), F.lit(2.0**-53))
@@ -30,25 +40,100 @@ def neighbours(edges: DataFrame, k: int, seed: int, by: str = "entity", weight:
     return top_k(edges, [by], gumbel(uniform(seed, by, "tx_id"), F.col(weight) if weight else None), k)
 
 
+def _units(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """entity, unit, is_root, id, day: roots and edges dealt to units, each with about UNIT of either at most.
+
+    An entity of more rows has several parts of its edges and of its roots, and a unit for each pair of parts. The table of such
+    entities has at most a UNIT-th of the rows.
+    """
+    rows = edges.select("entity", F.lit(0).alias("is_root"), F.col("tx_id").cast("long").alias("id"), "day").union(roots.select("entity", F.lit(1), F.col("root").cast("long"), "day"))
+    rows = rows.filter("entity IS NOT NULL")
+    sizes = rows.groupBy("entity").agg(F.ceil(F.sum(1 - F.col("is_root")) / UNIT).alias("_e"), F.ceil(F.sum("is_root") / UNIT).alias("_r"))
+    large = sizes.filter("_e > 1 OR _r > 1").select("entity", F.greatest("_e", F.lit(1)).alias("_e"), F.greatest("_r", F.lit(1)).alias("_r"))
+    dealt = rows.join(F.broadcast(large), "entity", "left").fillna(1, ["_e", "_r"])
+    part = F.pmod(F.xxhash64("id"), F.when(F.col("is_root") == 1, F.col("_r")).otherwise(F.col("_e")))
+    mine = F.when(F.col("is_root") == 1, F.transform(F.sequence(F.lit(0), F.col("_e") - 1), lambda e: e * F.col("_r") + part)).otherwise(F.transform(F.sequence(F.lit(0), F.col("_r") - 1), lambda r: part * F.col("_r") + r))
+    return dealt.select("entity", F.explode(mine).alias("unit"), "is_root", "id", "day")
+
+
+def _drawn(prefix: bytes, ids: list[bytes]) -> np.ndarray:
+    """The 52 bits of uniform() of each id, as whole numbers."""
+    digests = b"".join([hashlib.sha256(prefix + t).digest() for t in ids])
+    return np.frombuffer(digests, ">u8")[::4].astype(np.uint64) >> np.uint64(12)
+
+
+def _greatest(draw: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest draws, ties to the least id."""
+    at = np.arange(len(draw))
+    if len(draw) > k:
+        at = np.flatnonzero(draw >= np.partition(draw, len(draw) - k)[len(draw) - k])
+    return at[np.lexsort((ids[at], ~draw[at]))[:k]]
+
+
+def _unit_draws(edges: tuple[np.ndarray, np.ndarray], roots: tuple[np.ndarray, np.ndarray], k: int, seed: int, before: bool, recent: bool) -> list[np.ndarray]:
+    """root, tx_id, draw, new of the k greatest draws of each root of a unit (of each of old and new, where recent)."""
+    order = np.argsort(edges[1], kind="stable")
+    ids, days = edges[0][order], edges[1][order]
+    texts = [b"%d" % i for i in ids.tolist()]
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    for root, day in zip(roots[0].tolist(), roots[1].tolist(), strict=True):
+        n = int(np.searchsorted(days, day)) if before else len(ids)
+        draw = _drawn(b"%d|%d|" % (seed, root), texts[:n])
+        old = int(np.searchsorted(days[:n], day - RECENT_DAYS)) if recent else 0
+        for new, a, b in ((0, 0, old), (1, old, n)):
+            other = a + np.flatnonzero(ids[a:b] != root)
+            best = other[_greatest(draw[other], ids[other], k)]
+            for column, x in zip(found, (np.full(len(best), root), ids[best], draw[best].astype(np.int64), np.full(len(best), new)), strict=True):
+                column.append(x)
+    return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
+
+
 def causal_neighbours(roots: DataFrame, edges: DataFrame, k: int, seed: int, mode: str = "moving", fit_end: str | None = None, recent: int | None = None) -> DataFrame:
     """root, tx_id, rank: neighbours of each root's entity by time.
 
     static: all edges; frozen: before fit_end; moving: before the root's day; recent: as moving, `recent` of the k from the last 180
-    days, the rest older, filled up with recent ones. roots: root, entity, day; edges: entity, tx_id, ts.
+    days, the rest older, filled up with recent ones. roots: root, entity, day; edges: entity, tx_id, ts; ids are whole numbers.
+
+    Every pair of a root and an edge has a draw of its own. Pairs are drawn as a stream, a unit of an entity's edges and roots at a
+    time, of which only each root's k best leave: no pair is ever sorted or exchanged. The order by draw is the order by gumbel().
     """
-    j = roots.join(edges, "entity").filter(F.col("tx_id") != F.col("root"))
+    before = mode not in ("static", "frozen")
     if mode == "frozen":
-        j = j.filter(F.col("ts") < F.lit(fit_end).cast("timestamp_ntz"))
-    elif mode != "static":
-        j = j.filter(F.to_date("ts") < F.col("day"))
-    u = uniform(seed, "root", "tx_id")
+        edges = edges.filter(F.col("ts") < F.lit(fit_end).cast("timestamp_ntz"))
+    number = lambda day: F.datediff(day, F.lit("1970-01-01").cast("date"))
+    a = roots.select("entity", "root", (number(F.col("day")) if before else F.lit(0)).alias("day")).filter("day IS NOT NULL")
+    b = edges.select("entity", "tx_id", (number(F.to_date("ts")) if before else F.lit(0)).alias("day")).filter("day IS NOT NULL")
+    keys = ["entity", "unit"]
+    dealt = _units(a, b).repartition(*keys).sortWithinPartitions(*keys, "is_root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                now = pa.Table.from_batches([batch])
+                held = now if held is None else pa.concat_tables([held, now])
+            if not held:
+                continue
+            entity, unit = (held.column(c).combine_chunks() for c in keys)
+            new = pc.or_(pc.not_equal(entity[1:], entity[:-1]), pc.not_equal(unit[1:], unit[:-1])).to_numpy(zero_copy_only=False)
+            ends = [0, *(np.flatnonzero(new) + 1).tolist(), *([] if batch is not None else [len(held)])]
+            is_root, ids, days = (held.column(c).to_numpy() for c in ("is_root", "id", "day"))
+            for start, end in itertools.pairwise(ends):
+                split = start + int(np.searchsorted(is_root[start:end], 1))
+                if start < split < end:
+                    found = _unit_draws((ids[start:split], days[start:split]), (ids[split:end], days[split:end]), k, seed, before, mode == "recent")
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["root", "tx_id", "_u", "_new"])
+            held = held.slice(ends[-1]).combine_chunks()
+
+    j = dealt.mapInArrow(run, "root long, tx_id long, _u long, _new long")
+    kinds = {"root": dict(roots.dtypes)["root"], "tx_id": dict(edges.dtypes)["tx_id"]}
+    out = ["rank" if c == "rank" else F.col(c).cast(kinds[c]).alias(c) for c in ("root", "tx_id", "rank")]
     if mode != "recent":
-        return top_k(j, ["root"], gumbel(u), k).select("root", "tx_id", "rank")
-    j = j.withColumn("_u", gumbel(u)).withColumn("_new", F.to_date("ts") >= F.date_sub("day", 180))
+        return top_k(j, ["root"], F.col("_u"), k).select(*out)
     j = j.withColumn("_r", F.row_number().over(Window.partitionBy("root", "_new").orderBy(F.col("_u").desc(), "tx_id")))
-    tier = F.when(F.col("_new") & (F.col("_r") <= recent), 0).when(~F.col("_new"), 1).otherwise(2)
+    tier = F.when((F.col("_new") == 1) & (F.col("_r") <= recent), 0).when(F.col("_new") == 0, 1).otherwise(2)
     w = Window.partitionBy("root").orderBy(tier, "_r", "tx_id")
-    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("root", "tx_id", "rank")
+    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(*out)
 
 
 def two_layers(roots: DataFrame, adjacency: DataFrame, fanout: tuple[int, int], seed: int) -> DataFrame:
