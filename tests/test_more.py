@@ -362,3 +362,19 @@ def test_causal_scores_take_k_of_the_earlier_days(spark):
     want = model.factorised_scores(tx.select("tx_id", F.col("tx_id").alias("entity")), spark.createDataFrame(near, "entity long, tx_id long"), tx.select("tx_id", "x"), w)
     want = {r.tx_id: r.logit for r in want.collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-4 for i in want)
+
+
+def test_two_layers_exchange_no_row_of_the_result(spark):
+    """Against sets built from the same draws, where many transactions share both ends; the result isn't made distinct afterwards."""
+    tx = [(i, i % 3, i % 2 if i < 20 else i % 5) for i in range(40)]
+    adjacency = graph.adjacency(spark.createDataFrame([(*t, t[0] % 4 == 0) for t in tx], "tx_id long, user_key long, merchant_key long, label boolean"))
+    got = sampling.two_layers(adjacency.filter("label"), adjacency, (6, 4), 11)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [root" not in plan and "Union" not in plan.split("Generate posexplode")[0]
+    key = F.concat_ws(":", "side", "entity")
+    sample = [{(r.k, r.tx_id) for r in sampling.top_k(adjacency.withColumn("k", key), ["k"], sampling.gumbel(sampling.uniform(11 + i, "k", "tx_id")), k).collect()} for i, k in enumerate((6, 4))]
+    ends = {t: (f"user:{u}", f"merchant:{m}") for t, u, m in tx}
+    first = {(t, 1, t, s) for t in ends if t % 4 == 0 for k, s in sample[0] if k in ends[t] and s != t}
+    second = {(r, 2, s, x) for r, _, _, s in first for k, x in sample[1] if k in ends[s] and x != s}
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted(first | second)

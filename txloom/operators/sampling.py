@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import stored
 from ..functions.ranks import global_rank, of_draw, of_key
 from ..sources.fixtures import uniform
 
@@ -137,13 +138,28 @@ def causal_neighbours(roots: DataFrame, edges: DataFrame, k: int, seed: int, mod
 
 
 def two_layers(roots: DataFrame, adjacency: DataFrame, fanout: tuple[int, int], seed: int) -> DataFrame:
-    """root, layer, dst, src: a root takes both endpoints' sampled transactions, and each of those its endpoints'."""
-    table1 = neighbours(adjacency.withColumn("key", F.concat_ws(":", "side", "entity")), fanout[0], seed, "key").select("key", "tx_id")
-    table2 = neighbours(adjacency.withColumn("key", F.concat_ws(":", "side", "entity")), fanout[1], seed + 1, "key").select("key", "tx_id")
-    ends = adjacency.select(F.col("tx_id").alias("t"), F.concat_ws(":", "side", "entity").alias("key"))
-    first = roots.join(ends, F.col("root") == F.col("t")).join(table1, "key").filter("tx_id <> root").select("root", F.lit(1).alias("layer"), F.col("root").alias("dst"), F.col("tx_id").alias("src")).distinct()
-    second = first.join(ends, F.col("src") == F.col("t")).join(table2, "key").filter("tx_id <> src").select("root", F.lit(2).alias("layer"), F.col("src").alias("dst"), F.col("tx_id").alias("src")).distinct()
-    return first.union(second)
+    """root, layer, dst, src: a root takes both endpoints' sampled transactions, and each of those its endpoints'.
+
+    adjacency: side, entity, tx_id, other (a row for each end of a transaction); roots: its rows of the roots, each once. What an entity
+    passes on is one list: its sample with the sample's own samples. Each root's ends read it, so no row of the result is exchanged. A
+    transaction that a root would get from both ends shares both with it, and then the merchant's side leaves it out.
+    """
+    key = ["side", "entity"]
+    rows = adjacency.select(*key, "tx_id", "other").filter("entity IS NOT NULL")
+    draw = lambda s: uniform(s, F.concat_ws(":", "side", "entity"), "tx_id")
+    near, far = (stored(top_k(rows, key, draw(seed + i), k).select(*key, "tx_id", "other")) for i, k in enumerate(fanout))
+    lists = near.groupBy(*key).agg(F.collect_list("tx_id").alias("_near")).join(far.groupBy(*key).agg(F.collect_list("tx_id").alias("_far")), key, "left")
+    there = lists.select(F.when(F.col("side") == "user", "merchant").otherwise("user").alias("side"), F.col("entity").alias("other"), F.col("_near").alias("_there"), F.col("_far").alias("_over"))
+    none = F.array().cast(dict(lists.dtypes)["_far"])
+    twice = F.coalesce((F.col("side") == "merchant") & F.array_contains("_there", F.col("tx_id")), F.lit(False))
+    entry = F.struct("tx_id", F.col("other").alias("via"), twice.alias("twice"), F.coalesce("_over", none).alias("over"))
+    passed = near.join(there, ["side", "other"], "left").groupBy(*key).agg(F.collect_list(entry).alias("_e")).join(lists.select(*key, F.coalesce("_far", none).alias("_far")), key)
+    # a sampled transaction first, then its own sample
+    each = F.transform("_e", lambda e: F.struct(e["via"].alias("via"), e["twice"].alias("twice"), F.concat(F.array(e["tx_id"]), F.array_remove(F.array_union(F.col("_far"), e["over"]), e["tx_id"])).alias("ids")))
+    at = roots.select(*key, F.col("tx_id").alias("root"), "other").join(passed.select(*key, each.alias("_e")), key).select("root", "other", F.explode("_e").alias("e"))
+    at = at.filter((F.col("e.ids")[0] != F.col("root")) & ~(F.col("e.twice") & F.col("e.via").eqNullSafe(F.col("other"))))
+    out = at.select("root", F.col("e.ids")[0].alias("_s"), F.posexplode("e.ids").alias("_at", "src"))
+    return out.select("root", F.when(F.col("_at") == 0, 1).otherwise(2).alias("layer"), F.when(F.col("_at") == 0, F.col("root")).otherwise(F.col("_s")).alias("dst"), "src")
 
 
 def frontier(roots: DataFrame, adjacency: DataFrame, hops: int, k: int, seed: int) -> DataFrame:

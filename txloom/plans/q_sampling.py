@@ -90,7 +90,10 @@ def _tx_roots(spark, d):  # noqa: ANN001, ANN202
 
 @query("sam9_two_layers", f"WITH {_ADJ}, {_table(11, 25, 't1')}, {_table(12, 10, 't2')}, l1 AS (SELECT DISTINCT root, root AS dst, t1.tx_id AS src FROM roots JOIN a ON a.tx_id = root JOIN t1 ON t1.k = a.k WHERE t1.tx_id <> root), l2 AS (SELECT DISTINCT root, src AS dst, t2.tx_id AS src FROM l1 JOIN a ON a.tx_id = src JOIN t2 ON t2.k = a.k WHERE t2.tx_id <> src) SELECT root, 1 AS layer, dst, src FROM l1 UNION ALL SELECT root, 2, dst, src FROM l2")
 def _(spark, d):
-    return A.two_layers(_tx_roots(spark, d), _adjacency(spark, d), (25, 10), 11)
+    from ..operators.graph import adjacency
+
+    t = transactions(spark, d)
+    return A.two_layers(adjacency(t.filter("label = 1")), adjacency(t), (25, 10), 11)
 
 
 @query("sam10_frontier", f"WITH {_ADJ}, {_table(22, 4, 't1')}, {_table(23, 4, 't2')}, h1 AS (SELECT DISTINCT t1.tx_id FROM roots JOIN a ON a.tx_id = root JOIN t1 ON t1.k = a.k WHERE t1.tx_id NOT IN (SELECT root FROM roots)), h2 AS (SELECT DISTINCT t2.tx_id FROM h1 JOIN a ON a.tx_id = h1.tx_id JOIN t2 ON t2.k = a.k WHERE t2.tx_id NOT IN (SELECT root FROM roots) AND t2.tx_id NOT IN (SELECT tx_id FROM h1)) SELECT root AS tx_id, 0 AS hop FROM roots UNION ALL SELECT tx_id, 1 FROM h1 UNION ALL SELECT tx_id, 2 FROM h2")
