@@ -384,3 +384,28 @@ def test_mix_by_brute_force(spark):
         for k, (d, _, n, _) in enumerate(sorted((x for x in docs if x[1] == s), key=lambda x: (x[3], low(x[0]), x[2]))):
             want[d, s, n, taken[s, k]] += 1
     assert got == want
+
+
+def test_pivot_table_discards_by_the_greatest_coordinate_difference(spark):
+    """Over references with inverted blocks; no pair within the limit goes, most random ones do, and the stage asks the table first."""
+    r = np.random.default_rng(3)
+    fps = r.integers(0, 1 << 64, (40, similar.BITS // 64), np.uint64)
+    rows = [similar.pivot_distances(f) for f in fps]
+    block = lambda f, i: int(f[i // 16]) >> 4 * (i % 16) & 15
+    for a, b in ((0, 1), (2, 3), (4, 4)):
+        d = [[(block(fps[x], i) ^ block(similar.REFERENCE, i)).bit_count() for i in range(similar.BLOCKS)] for x in (a, b)]
+        inverted = [x < y for x, y in zip(*d, strict=True)]  # the reference at which the coordinates differ most
+        coordinate = [sum(4 - v if inv else v for v, inv in zip(side, inverted, strict=True)) for side in d]
+        assert int(np.bitwise_count(rows[a] ^ rows[b]).sum()) == coordinate[0] - coordinate[1]
+    far = [int(np.bitwise_count(rows[i] ^ rows[j]).sum()) > similar.LIMIT for i in range(40) for j in range(i)]
+    assert sum(far) > 0.9 * len(far)
+    for f, p in zip(fps, rows, strict=True):
+        bits = np.unpackbits(f.view(np.uint8))
+        bits[r.choice(similar.BITS, similar.LIMIT, replace=False)] ^= 1
+        assert int(np.bitwise_count(similar.pivot_distances(np.packbits(bits).view(np.uint64)) ^ p).sum()) <= similar.LIMIT
+    # nodes of equal fingerprints whose rows of the table are too far apart are discarded by the table
+    names = ["node", "n", *similar.FP, *similar.PIVOTS]
+    nodes = spark.createDataFrame([(1, 9, *[5] * 8), (2, 9, *[5] * 8), (3, 9, *[5] * 4, *[-6] * 4)], ", ".join(f"{c} long" for c in names))
+    hubs = spark.range(1).select(F.lit(0).alias("key"), F.lit(1).cast("long").bitwiseXOR(F.xxhash64(F.lit(0))).alias("lo"))
+    rows = spark.createDataFrame([(2,), (3,)], "node long").crossJoin(hubs)
+    assert [tuple(p) for p in similar.star_pairs(nodes, rows).collect()] == [(1, 2)]
