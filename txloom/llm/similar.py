@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts, tidy
+from .common import cut, slices, swept, texts, tidy
 from .components import connected
 from .simhash import UPPER
 
@@ -263,6 +263,11 @@ def pairs_between(nodes: DataFrame, rows: DataFrame, coarse: DataFrame) -> DataF
 
 def groups(docs: DataFrame) -> DataFrame:
     """key, root (equal for the rows of a component of near-duplicates), for each row of docs (key, text)."""
+    with swept(docs.sparkSession):
+        return _groups(docs)
+
+
+def _groups(docs: DataFrame) -> DataFrame:
     marked = cut(marks(docs))
     nodes = cut(marked.groupBy("node").agg(F.min("key").alias("at"), *(F.first(c).alias(c) for c in ("n", *FP, *PIVOTS, *PARITY))))
     every = buckets(nodes, nodes.count())
